@@ -27,6 +27,18 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -61,5 +73,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op5_quality": op5_quality, "op7_ngram_join": op7_ngram_join, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op8_decontaminate": OP8_SQL}
