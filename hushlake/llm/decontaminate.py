@@ -157,11 +157,11 @@ def _occurrences(words: Words, block: _Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _pass(block: _Block):
     """Add what this block hits to the rows' runs of hit words and to their items."""
-    runs = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
+            runs = batch.schema.field("hits").type
             ids, text = names.index("items"), names.index("text")
             for texts in chunks(batch.column(text)):
                 words = Words(texts, NOT_ALNUM, fold=True)
@@ -182,8 +182,8 @@ def _pass(block: _Block):
                         items[r] += block.items[w]
                     columns = part.columns
                     columns[names.index("hits")] = pa.array(hits, runs)
-                    columns[ids] = pa.array([list(dict.fromkeys(x)) for x in items], runs)
-                    part = pa.RecordBatch.from_arrays(columns, names=names)
+                    columns[ids] = pa.array([list(dict.fromkeys(x)) for x in items], batch.schema.field("items").type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
                 yield part
 
     return run

@@ -78,6 +78,13 @@ def test_decontaminate_equals_brute_force(spark, sf, docs, block):
     assert sum(w[5] for w in want) > 3
 
 
+def test_decontaminate_over_several_chunks(spark):
+    long = "filler " * 400_000
+    rows = [(1, long), (2, long + PASSAGE), (3, long), (4, PASSAGE)]
+    got = decontaminate(frame(spark, rows).coalesce(1), spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.n_hit, r.items) for r in got] == [(1, 0, []), (2, 60, [7]), (3, 0, []), (4, 60, [7])]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
