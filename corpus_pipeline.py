@@ -1,16 +1,71 @@
-"""Five stages over `documents`, each on what its predecessor kept."""
+"""From raw documents to a mixed training set: five stages over `documents`, each on all that its predecessor kept.
+
+Quality classifier, line dedup, n-gram near-duplicates, benchmark
+decontamination, mixing to target weights.  Every stage takes (spark, docs,
+sf_dir) and returns documents with the columns it got (the last one adds how
+often each is taken), so stages can be written out and read again in between.
+
+Null and repeated ids, null and empty texts and empty tables are handled as the
+operators' docstrings say: a null text is scored like an empty one, has no lines,
+no n-grams and no benchmark passage, and is drawn by the rate of its cell.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushlake.llm import decontaminate as decontamination
+from hushlake.llm import line_dedup, ngram_join, quality
+from hushlake.llm.queries import mixed
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from labels that are not held out, on these documents."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many sites share; n_chars follows the text."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
-STAGES: list = []
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    gone = ngram_join.ngram_join(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_rows=True)
+    return found.where(~F.col("contaminated")).select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
+
+
+def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampled documents, with their topic, their expected number of copies and the number drawn."""
+    return mixed(spark, docs, carry=["text", "n_chars"]).where("copies > 0")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", clean_of_benchmarks),
+    ("mixing to target weights", mixed_to_targets),
+]
+
+#: The classifier has no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushlake.llm.scratch import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        # later stages read their input more than once
+        docs = cut(docs) if i < len(STAGES) - 1 else docs
     return docs

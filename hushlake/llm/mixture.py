@@ -42,7 +42,8 @@ def topic(text: Column) -> Column:
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(value, share) with shares in proportion to a power of the tokens: below one, large values give way to small ones."""
     own = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("w"))
-    return own.crossJoin(own.agg(F.sum("w").alias("all"))).select("value", (F.col("w") / F.col("all")).alias("share"))
+    everything = own.agg(F.sum("w").alias("w")).first()["w"]
+    return own.select("value", (F.col("w") / F.lit(everything or 1.0)).alias("share"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -58,14 +59,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """
     few = cells.count() <= one_task
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    everything = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    out = out.join(F.broadcast(everything), how="cross") if few else out.crossJoin(everything)
+    total = float(cells.agg(F.sum("tokens").alias("total")).first()["total"] or 0)
     for m in MARGINS:
         share = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias(f"share_{m}"))
         out = out.join(F.broadcast(share) if few else share, m, "left").fillna({f"share_{m}": 0.0})
         # only shares of values that have tokens count
-        live = cells.where("tokens > 0").select(m).distinct().join(share, m).agg(F.sum(f"share_{m}").alias(f"live_{m}"))
-        out = out.join(F.broadcast(live), how="cross").withColumn(f"goal_{m}", F.col("total") * F.col(f"share_{m}") / F.col(f"live_{m}"))
+        live = cells.where("tokens > 0").select(m).distinct().join(share, m).agg(F.sum(f"share_{m}").alias("live")).first()["live"]
+        out = out.withColumn(f"goal_{m}", F.lit(total) * F.col(f"share_{m}") / F.lit(live or 1.0))
     out = cut(out.select(*cells.columns, "weight", *(f"goal_{m}" for m in MARGINS)))
     if few:
         out = out.coalesce(1)
@@ -82,23 +82,24 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Column | None = None) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Column | None = None, further: list[str] | None = None) -> DataFrame:
     """doc_id, source, lang, topic and n_tokens of each document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), value(F.col(source_col)).alias("source"), value(F.col(lang_col)).alias("lang"),
-        value(topic(text) if topic_of is None else topic_of).alias("topic"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"),
+        value(topic(text) if topic_of is None else topic_of).alias("topic"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"), *(further or ()),
     )
 
 
-def mix(docs: DataFrame, *, targets: dict[str, DataFrame | float], rate: float = 0.5, seed: int = 1, rounds: int = ROUNDS, one_task: int = ONE_TASK, **columns) -> DataFrame:
+def mix(docs: DataFrame, *, targets: dict[str, DataFrame | float], rate: float = 0.5, seed: int = 1, rounds: int = ROUNDS, one_task: int = ONE_TASK, carry: list[str] | None = None, **columns) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, expected and copies for each document.
 
     targets has for each of source, lang and topic either a table (value, share)
     or a power by which the present shares are tempered; rate is the share of all
     tokens to be taken in expectation.  expected is how many times the
     document is taken on average and copies how many times it is taken here.
+    Columns named in carry follow unchanged (then the texts are read a second time rather than moved).
 
     Null source, language or topic is a value of its own, "(none)", which a
     table of targets may list.  Null and empty texts have no tokens and get the
@@ -114,8 +115,10 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame | float], rate: float =
     fitted = F.broadcast(fitted) if cells.count() <= one_task else fitted
     whole = F.floor("expected")
     copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("expected") - whole, 1).otherwise(0)
+    if carry:
+        rows = prepared(docs.withColumn("__carry", F.struct(*(F.col(f"`{c}`") for c in carry))), further=["__carry"], **columns)
     out = rows.join(fitted, list(MARGINS))
-    return out.select("doc_id", *MARGINS, "n_tokens", "expected", copies.cast("long").alias("copies"))
+    return out.select("doc_id", *MARGINS, "n_tokens", "expected", copies.cast("long").alias("copies"), *(F.col(f"__carry.`{c}`") for c in carry or ()))
 
 
 def shares(pairs: dict[str, float], spark) -> DataFrame:

@@ -15,10 +15,10 @@ LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 SOURCE_POWER, TOPIC_POWER, RATE, SEED, ROUNDS = 0.5, 0.7, 0.5, 1, 12
 
 
-def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     from .mixture import mix, shares
 
-    return mix(docs, targets={"source": SOURCE_POWER, "lang": shares(LANGUAGES, spark), "topic": TOPIC_POWER}, rate=RATE, seed=SEED, rounds=ROUNDS)
+    return mix(docs, targets={"source": SOURCE_POWER, "lang": shares(LANGUAGES, spark), "topic": TOPIC_POWER}, rate=RATE, seed=SEED, rounds=ROUNDS, **options)
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
