@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ngram_join import groups, local_labels
-from .scratch import cut
+from .scratch import cut, small_batches
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
-CELL_ROWS, MOST_CELLS = 2048, 1024
-BLOCK = 1024
+#: Cells for each label: the root of its largest number of classes over CELL_SHARE.
+CELL_SHARE, MOST_CELLS = 16, 1024
+BLOCK = 2048
 
 
 def _units(batches):
@@ -45,7 +46,7 @@ def _units(batches):
     for batch in batches:
         label, column = batch.column(1), batch.column(2)
         n = batch.num_rows
-        sizes = np.zeros(n, dtype=np.int64) if not n else np.array([len(x) if x is not None else 0 for x in column.is_valid().to_pylist()] if False else column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = column.flatten()
         value = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become nan
         ends = np.cumsum(sizes)
@@ -130,25 +131,28 @@ def _compare(threshold: float):
                 continue
             ids = table["v"].to_pylist()
             x = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(len(ids), -1)
-            owned = table["owned"].to_numpy(zero_copy_only=False).astype(bool)
-            linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
-            linked &= owned[:, None] | owned[None, :]
+            own = np.flatnonzero(table["owned"].to_numpy(zero_copy_only=False).astype(bool))
+            weight = table["weight"].to_numpy()
+            linked = x[own] @ x.T >= threshold
+            linked[np.arange(len(own)), own] = False
             if table["i"][0] != table["j"][0]:
                 block = table["block"].to_numpy()
-                linked &= block[:, None] != block[None, :]
-            some = np.flatnonzero(linked.any(axis=1))
+                linked &= block[own][:, None] != block[None, :]
+            links = weight[own] @ linked  # right for visitors; owned rows follow
+            links[own] = linked @ weight
+            some = np.flatnonzero(links)
             if not len(some):
                 continue
-            linked = linked[np.ix_(some, some)]
-            links = linked @ table["weight"].to_numpy()[some]
-            label = some[local_labels(linked)]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()), pa.array(links.astype(np.int64)), pa.array([ids[k] for k in label], pa.binary())], schema=schema)
+            square = np.zeros((len(ids), len(some)), dtype=bool)
+            square[own] = linked[:, some]
+            square = square[some]
+            label = some[local_labels(square | square.T)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([ids[k] for k in label], pa.binary())], schema=schema)
 
     return run
 
 
-def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, cell_share: float = CELL_SHARE, block: int = BLOCK) -> DataFrame:
     """One row for each vector: vec_id, n_links (others with the same label and a cosine of at least the threshold), component_id (smallest vec_id reachable by links), kept (it is that one).
 
     A vector that is null, empty, zero or holds a null or non-finite component, or
@@ -159,13 +163,14 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
+    small_batches(vectors)
     angle = math.acos(threshold)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(label_col).cast("long")).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     schema = "vec_id long, v binary, label long, dim int, unit binary"
     units = cut(rows.mapInArrow(_units, schema))
     classes = cut(units.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
-    n = classes.count()
-    k = int(min(MOST_CELLS, max(1, n // cell_rows)))
+    sizes = classes.groupBy("label", "dim").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+    n, k = sizes["all"], int(min(MOST_CELLS, max(1, math.ceil(math.sqrt(sizes["most"]) / cell_share))))
     centroids: dict[int, np.ndarray] = {}
     if k > 1:
         picked: dict[int, list[bytes]] = {}

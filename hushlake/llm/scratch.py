@@ -37,5 +37,14 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound the batches that go to Python by bytes, for the session: texts can be long, and rows alone say nothing about memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
