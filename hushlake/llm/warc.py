@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, shared_dir
+from .scratch import cut, shared_dir, small_batches
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -40,6 +39,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 1000
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 112 << 10
 FILE_BYTES = 512 << 20
+READ_BYTES = 1 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 
@@ -117,19 +117,26 @@ def read_dictionary(source) -> bytes:
 def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record, one record in memory at a time."""
     box = zstandard.ZstdDecompressor(dict_data=_dictionary(read_dictionary(source)))
-    lines = io.BufferedReader(box.stream_reader(source, read_across_frames=True), 1 << 20)
-    while first := lines.readline():
-        if first != b"WARC/1.1\r\n":
-            raise ValueError("not a WARC record")
-        fields = {}
-        while (line := lines.readline()) not in (b"\r\n", b""):
-            k, _, v = line.decode().rstrip("\r\n").partition(": ")
-            fields[k] = v
-        size = int(fields["Content-Length"])
-        block = lines.read(size)
-        if len(block) != size or lines.read(4) != b"\r\n\r\n":
-            raise ValueError("a record is cut short")
-        yield fields, block
+    ahead = source.read(READ_BYTES)
+    while ahead:
+        frame, parts = box.decompressobj(), []
+        while not frame.eof:
+            if not ahead:
+                raise ValueError("a record is cut short")
+            parts.append(frame.decompress(ahead))
+            ahead = frame.unused_data if frame.eof else source.read(READ_BYTES)
+        yield _parsed(b"".join(parts))
+        ahead = ahead or source.read(READ_BYTES)
+
+
+def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    fields = dict(line.split(": ", 1) for line in lines)
+    size = int(fields["Content-Length"])
+    if version != "WARC/1.1" or rest[size:] != b"\r\n\r\n":
+        raise ValueError("not a WARC record")
+    return fields, rest[:size]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -167,9 +174,13 @@ def _writer(folder: str, dictionary: bytes, file_bytes: int):
     return run
 
 
-def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+def _payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+
+
+def with_revisits(pages: DataFrame, *, least: int = LEAST_REVISIT, **columns) -> DataFrame:
     """page_id, url, payload, and refers_to and refers_url for pages whose payload a page with a larger id holds."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = _payloads(pages, **columns)
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     seen = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 and last.page_id is not null").select("same", "last")
     later = F.coalesce(F.col("page_id") < F.col("last.page_id"), F.col("last.page_id").isNotNull())
@@ -185,12 +196,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, sample: int =
     A null url is replaced by one made from the page id.  Other columns are ignored; an empty table
     gives no archives.
     """
+    small_batches(pages)
     spark = pages.sparkSession
     rows = with_revisits(pages, **columns)
     folder = folder or f"{shared_dir(spark)}/hushlake-warc-{uuid.uuid4().hex}"
     picked, total = [], 0
-    plain = pages.select(F.col(columns.get("id_col", "page_id")).cast("long").alias("page_id"), F.col(columns.get("url_col", "url")).cast("string").alias("url"), F.coalesce(F.col(columns.get("html_col", "html")).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    for r in plain.orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample).toLocalIterator():
+    # ids first: only the payloads of so many pages are looked up
+    plain = _payloads(pages, **columns)
+    by_hash = [F.xxhash64("page_id"), F.col("page_id")]
+    first = plain.select("page_id").distinct().orderBy(*by_hash).limit(sample)
+    for r in plain.join(F.broadcast(first), "page_id", "left_semi").orderBy(*by_hash, "url").limit(sample).toLocalIterator():
         if total < sample_bytes:
             picked.append(record(r["page_id"], r["url"], bytes(r["payload"])))
             total += len(picked[-1])
