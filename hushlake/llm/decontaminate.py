@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import NOT_ALNUM, Texts, Words, chunks, covered
+from .scratch import small_batches
 
 BLOCK_BYTES = 8 << 20
 _SLOTS = 1 << 20
@@ -228,6 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     that repeat stay and are judged each by itself.  An empty benchmark hits
     nothing, an empty table of documents gives an empty table.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut
+from .scratch import cut, small_batches
 
 MIN_SITES = 10
 #: log2 of the registers of a sketch; its relative error is about 1.04 / sqrt(2**LG_K), and four times that is the band.
@@ -80,6 +80,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     are treated each by its own text.  Further columns stay; the two new ones replace any of
     the same names.  An empty table gives an empty table.
     """
+    small_batches(docs)
     boiler = cut(site_spread(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, lg_k=lg_k))
     lines = _lines(docs, id_col, text_col, site_col).select("doc_id", "mark", "pos", "key")
     hits = lines.join(boiler, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import NOT_ALNUM, U64, Words, chunks, mix
-from .scratch import cut
+from .scratch import cut, small_batches
 
 RECALL = 0.9999
 HASHES = 128
@@ -237,6 +237,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     their own; equal sets are linked with each other.  Other columns are
     ignored, whatever their names; an empty table gives an empty table.
     """
+    small_batches(docs)
     bands, rows = choose_bands(threshold, recall, hashes)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(texts.mapInArrow(_sketch(n, bands, rows), "doc_id long, v binary, n_grams long, bands array<long>"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Texts, chunks
+from .scratch import small_batches
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn")
@@ -197,6 +198,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     through, a row comes back for each input row; other columns are ignored,
     whatever their names; texts of any length are searched whole, in linear time.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = "".join(f", n_{k} long" for k in KINDS)
     return rows.mapInArrow(_run(with_text), f"doc_id long{counts}, base_sha256 string, spans string, found array<struct<kind:string,start:long,stop:long,score:double>>, redacted string")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACE, Texts, U64, Words, by_row, chunks, mix
+from .scratch import small_batches
 
 PAIRS = 2048
 SHAPES = 15
@@ -114,10 +115,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.01, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss; where the negative part falls below zero, only that part is stepped back."""
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.01, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the inputs as scaled (in place), the scale, and the bias. Adam on the non-negative risk with the logistic loss; where the negative part falls below zero, only that part is stepped back."""
     scale = np.sqrt(np.mean(unlabelled.astype(np.float64) ** 2, axis=0)).astype(np.float32) + np.float32(0.01)
-    p, u = positive / scale, unlabelled / scale
+    p, u = positive, unlabelled
+    p /= scale
+    u /= scale
     w, b = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -131,7 +134,7 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = (w - step[:-1]).astype(np.float32)
         b -= step[-1]
-    return w / scale, float(b)
+    return w, scale, float(b)
 
 
 def held_out(id_col: str):
@@ -145,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     An id with several labels counts as good only if all say so; null labels
     and ids are ignored.  Without any good label the model gives everyone its prior.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & ~held_out("id"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y")).where(~held_out("id"))
@@ -161,20 +165,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = np.concatenate([np.zeros((0, PAIRS + SHAPES), np.float32), *features(batch.column(1))]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=["good", "x", "id"])
 
-    table = rows.join(picked, "id").select("good", "text", "id").mapInArrow(rows_of, "good boolean, x binary, id long").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    # an id that repeats counts once, with one of its texts
+    one_each = rows.join(picked, "id").groupBy("good", "id").agg(F.max("text").alias("text")).select("good", "text", "id")
+    table = one_each.mapInArrow(rows_of, "good boolean, x binary, id long").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     mask = table["good"].to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool)
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(-1, PAIRS + SHAPES)
     p, u = x[mask].astype(np.float32), x[~mask].astype(np.float32)
     if not len(p) or not len(u):
         return Model(np.zeros(PAIRS + SHAPES, np.float32), float(np.log(prior / (1 - prior))), prior)
-    w, b = minimise(p, u, prior)
+    del table, x, mask
+    w, scale, b = minimise(p, u, prior)
     # the threshold sits where the prior says it should: that share of unlabelled text is at or above it, and nearly all trusted positives
     at = min(np.quantile(u @ w + b, 1 - prior), np.quantile(p @ w + b, LOST))
-    return Model(w, float(b - at + np.log(threshold / (1 - threshold))), prior)
+    return Model((w / scale).astype(np.float32), float(b - at + np.log(threshold / (1 - threshold))), prior)
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """The rows with a column more; null text is scored as empty."""
+    small_batches(docs)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Texts, chunks
+from .scratch import small_batches
 
 KINDS = ("assign", "access", "hex")
 
@@ -241,5 +242,6 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     whatever their names.  Texts of any length are searched whole; only a
     compressed layer that would grow beyond MAX_UNPACKED bytes stays packed.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,stop:long,depth:int>>")

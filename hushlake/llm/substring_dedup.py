@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACE, U64, Words, by_row, chunks, covered
-from .scratch import cut, empty
+from .scratch import cut, empty, small_batches
 
 RUN_LIMIT = 100_000
 _POS, _AHEAD = 32, 8  # bits of a position in its document, and of the distance to the short window
@@ -221,6 +221,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 8 <= window <= 60:
         raise ValueError("window must be 8 to 60 words")
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     anchors = rows.where("doc_id is not null and text is not null").mapInArrow(_anchors(window), "h long, doc long, at long, prints binary")
     sorted_ = anchors.repartition("h").sortWithinPartitions("h", "doc")
