@@ -85,12 +85,16 @@ class Sealed:
 
     def __init__(self, ring: Keyring):
         self.ring = ring
+        self._ciphers: dict[tuple, FieldCipher] = {}
 
     # Sealing -----------------------------------------------------------------
 
     def _cipher(self, registration: Registration, name: str) -> FieldCipher:
         spec = registration.fields[name]
-        return FieldCipher(self.ring, registration.model, registration.field_id(name), spec.kind, spec.parameters)
+        key = registration.model, registration.field_id(name), spec.kind, spec.parameters
+        if key not in self._ciphers:
+            self._ciphers[key] = FieldCipher(self.ring, *key)
+        return self._ciphers[key]
 
     def _checked_keys(self, rows: DataFrame, registration: Registration) -> DataFrame:
         for name, kind in ((registration.row, registration.row_type), (registration.scope, registration.scope_type)):

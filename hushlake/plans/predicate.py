@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SealError, ensure
 from ..functions import codec
-from ..functions.crypto import binary, stamp_col
+from ..functions.framing import u32
 from ..functions.keys import Keyring
 from ..functions.normalize import compact
 from .model import EXACT, SUBSTRING, Profile, Registration
@@ -212,7 +212,10 @@ def pick_tokens(tokens: list[int]) -> list[int]:
 
 
 class Compiler:
-    """Compiles the trees of one registration and scope; only derived keys of the terms enter the plan."""
+    """Compiles the trees of one registration and scope; only derived keys of the terms enter the plan.
+
+    An encrypted tree becomes one SQL expression, which the driver hands over in a single call.
+    """
 
     def __init__(self, registration: Registration, ring: Keyring, scope: str, prefix: str = ""):
         self.registration, self.ring, self.scope, self.prefix = registration, ring, scope, prefix
@@ -221,14 +224,20 @@ class Compiler:
         """A condition on a companion (joined to its parent where the tree has plain conditions)."""
         if isinstance(node, Plain):
             return node.condition
+        if secure(node):
+            return F.expr(self.sql(node))
+        return reduce((lambda a, b: a & b) if node.op == "and" else (lambda a, b: a | b), map(self.column, node.children))
+
+    def sql(self, node: Node) -> str:
+        """The text of a purely encrypted tree."""
         if isinstance(node, Group):
-            return reduce((lambda a, b: a & b) if node.op == "and" else (lambda a, b: a | b), map(self.column, node.children))
+            return "(" + f" {node.op} ".join(map(self.sql, node.children)) + ")"
         return self._exact(node) if node.op == "eq" else self._substring(node)
 
-    def _col(self, name: str) -> Column:
-        return F.col(f"{self.prefix}{name}")
+    def _col(self, name: str) -> str:
+        return f"`{self.prefix}{name}`"
 
-    def _exact(self, leaf: Leaf) -> Column:
+    def _exact(self, leaf: Leaf) -> str:
         p, spec = self.registration.profile(leaf.field, EXACT), self.registration.fields[leaf.field]
         if spec.kind == "text":
             ensure(isinstance(leaf.value, str))
@@ -236,8 +245,8 @@ class Compiler:
         else:
             raw = codec.encode(spec.kind, leaf.value, spec.precision, spec.scale)
         keys = ProfileKeys.of(self.ring, p)
-        proof = self._col(f"eq_stamp_{p.tag}") == stamp_col(binary(keys.proof_of(self.scope, raw)), self._col(f"eq_salt_{p.tag}"))
-        return proof if p.hardened else (self._col(f"tokens_{p.tag}") == keys.token_of(self.scope, raw)) & proof
+        proof = f"{self._col(f'eq_stamp_{p.tag}')} = {_stamp(keys.proof_of(self.scope, raw), self._col(f'eq_salt_{p.tag}'))}"
+        return f"({proof})" if p.hardened else f"({self._col(f'tokens_{p.tag}')} = {_long(keys.token_of(self.scope, raw))} and {proof})"
 
     def tokens(self, leaf: Leaf) -> list[int]:
         """The candidate tokens of a substring leaf."""
@@ -249,72 +258,115 @@ class Compiler:
         found = {x for c in pattern.chunks for _, text in c.literals for x in pieces(text, p.skip_grams, start, end)}
         return [keys.token_of(self.scope, x) for x in found]
 
-    def _substring(self, leaf: Leaf) -> Column:
+    def _substring(self, leaf: Leaf) -> str:
         p = self.registration.profile(leaf.field, SUBSTRING)
-        pattern, keys, t = _pattern(leaf, p.normalizer), ProfileKeys.of(self.ring, p), p.tag
-        salt, n = self._col(f"pos_salt_{t}"), self._col(f"pos_len_{t}")
-        stamps, offsets = self._col(f"pos_stamps_{t}"), self._col(f"pos_offsets_{t}")
-        terms = [(n == pattern.least) if len(pattern.chunks) == 1 and not pattern.open_start and not pattern.open_end else (n >= pattern.least)]
-        if not p.hardened:
-            terms += [F.array_contains(self._col(f"tokens_{t}"), F.lit(x)) for x in pick_tokens(self.tokens(leaf))]
+        pattern, keys = _pattern(leaf, p.normalizer), ProfileKeys.of(self.ring, p)
         grams = list(dict.fromkeys(g for c in pattern.chunks for _, text in c.literals for _, g in windows(text)))
-        proof = {g: binary(keys.proof_of(self.scope, g.encode())) for g in grams}
+        value = _Value({g: keys.proof_of(self.scope, g.encode()) for g in grams}, *(self._col(f"pos_{x}_{p.tag}") for x in ("salt", "len", "stamps", "offsets")))
+        whole = len(pattern.chunks) == 1 and not pattern.open_start and not pattern.open_end
+        terms = [f"{value.n} {'=' if whole else '>='} {pattern.least}"]
+        if not p.hardened:
+            terms += [f"array_contains({self._col(f'tokens_{p.tag}')}, {_long(x)})" for x in pick_tokens(self.tokens(leaf))]
         # each pair must occur at least once: one hash and one look-up for each
-        terms += [F.array_contains(stamps, stamp_col(proof[g], salt, F.lit(1))) for g in grams]
+        terms += [value.has(g, 1) for g in grams]
         if pattern.least > 2 or len(grams) > 1 or not (pattern.open_start and pattern.open_end):
-            terms.append(_placed(pattern, proof, salt, n, stamps, offsets))
-        return reduce(lambda a, b: a & b, terms)
+            # mostly no pair occurs twice: then there is one place to look at, and compiled code does it
+            again = " or ".join(value.has(g, 2) for g in grams)
+            terms.append(f"case when {again} then {_placed(pattern, value)} else {_placed_once(pattern, value)} end")
+        return "(" + " and ".join(terms) + ")"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once for the row."""
-    return F.transform(F.array(value), body)[0]
+def _long(x: int) -> str:
+    return f"{x}L" if x >= 0 else f"cast('{x}' as bigint)"
 
 
-def _occurrences(key: Column, salt: Column, n: Column, stamps: Column, offsets: Column) -> Column:
-    """Offsets at which a pair of characters stands: its first, second, ... occurrence until one is missing."""
-    step = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("found"), F.lit(True).alias("more"))
+def _stamp(key: bytes, salt: str, ordinal: int | str | None = None) -> str:
+    """stamp_col() as text."""
+    if isinstance(ordinal, int):
+        tail = f", X'{u32(ordinal).hex()}'"
+    else:
+        tail = "" if ordinal is None else f", unhex(lpad(hex({ordinal}), 8, '0'))"
+    return f"cast(conv(substring(sha2(concat(X'{key.hex()}', {salt}{tail}), 256), 1, 16), 16, -10) as bigint)"
 
-    def more(acc: Column, _: Column) -> Column:
-        at = F.array_position(stamps, stamp_col(key, salt, acc["next"]))
-        grown = lambda at: F.when(at > 0, F.struct((acc["next"] + 1).alias("next"), F.array_append(acc["found"], F.element_at(offsets, at.cast("int"))).alias("found"), F.lit(True).alias("more"))).otherwise(F.struct(acc["next"].alias("next"), acc["found"].alias("found"), F.lit(False).alias("more")))
-        return F.when(acc["more"], _let(at, grown)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), step, more, lambda acc: acc["found"])
+@dataclass(frozen=True)
+class _Value:
+    """The position proof of a stored value, and the keys of the pairs that a pattern asks for."""
 
+    proof: dict[str, bytes]
+    salt: str
+    n: str
+    stamps: str
+    offsets: str
 
-def _placed(pattern: Pattern, proof: dict[str, Column], salt: Column, n: Column, stamps: Column, offsets: Column) -> Column:
-    """Whether the chunks stand in order, each at its place; leftmost places are tried, which is exact for % patterns."""
-    grams = list(proof)
+    def has(self, gram: str, ordinal: int) -> str:
+        return f"array_contains({self.stamps}, {_stamp(self.proof[gram], self.salt, ordinal)})"
+
+    def first(self, gram: str) -> str:
+        return f"get({self.offsets}, cast(array_position({self.stamps}, {_stamp(self.proof[gram], self.salt, 1)}) as int) - 1)"
+
+    def all(self, gram: str) -> str:
+        """Offsets of the first, second, ... occurrence, until one is missing."""
+        at = f"array_position({self.stamps}, {_stamp(self.proof[gram], self.salt, 'acc.next')})"
+        found = f"named_struct('next', acc.next + 1, 'found', array_append(acc.found, get({self.offsets}, cast(at as int) - 1)), 'more', true)"
+        none = "named_struct('next', acc.next, 'found', acc.found, 'more', false)"
+        step = f"if(acc.more, {_let('at', at, f'if(at > 0, {found}, {none})')}, acc)"
+        start = "named_struct('next', 1, 'found', cast(array() as array<int>), 'more', true)"
+        return f"aggregate(sequence(1, greatest({self.n} - 1, 1)), {start}, (acc, i) -> {step}, acc -> acc.found)"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """The body with the value under a name, computed once for the row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _placed_once(pattern: Pattern, value: _Value) -> str:
+    """_placed() for values in which each pair of the pattern occurs once."""
+    terms, end, seen = ["true"], "0", set()
     last = len(pattern.chunks) - 1
+    for k, chunk in enumerate(pattern.chunks):
+        at_start, at_end = k == 0 and not pattern.open_start, k == last and not pattern.open_end
+        pairs = [(place + i, g) for place, text in chunk.literals for i, g in windows(text)]
+        if any(g in seen for _, g in pairs) or len({g for _, g in pairs}) < len(pairs):
+            return "false"  # a pair that the pattern has at two places
+        seen.update(g for _, g in pairs)
+        if pairs:
+            start = f"({value.first(pairs[0][1])} - {pairs[0][0]})"
+            terms += [f"{value.first(g)} - {place} = {start}" for place, g in pairs[1:]]
+            terms.append(f"{start} = 0" if at_start else f"{start} >= {end}")
+            terms.append(f"{start} + {chunk.width} {'=' if at_end else '<='} {value.n}")
+            end = f"({start} + {chunk.width})"
+        else:
+            end = f"({end} + {chunk.width})"
+            terms.append(f"{end} {'=' if at_start and at_end else '<='} {value.n}")
+    return " and ".join(terms)
+
+
+def _placed(pattern: Pattern, value: _Value) -> str:
+    """Whether the chunks stand in order, each at its place; leftmost places are tried, which is exact for % patterns."""
+    grams = list(value.proof)
+    last, n = len(pattern.chunks) - 1, value.n
 
-    def starts(found, chunk: Chunk) -> Column:
+    def starts(chunk: Chunk) -> str:
         """Places at which all pairs of the chunk's literals agree."""
-        pairs = [(at + i, g) for at, text in chunk.literals for i, g in windows(text)]
-        (first, g0), rest = pairs[0], pairs[1:]
-        ok = lambda o: reduce(lambda a, b: a & b, [F.array_contains(found[f"g{grams.index(g)}"], o - first + i) for i, g in rest], (o >= first) & (o - first + chunk.width <= n))
-        return F.transform(F.filter(found[f"g{grams.index(g0)}"], ok), lambda o: o - first)
+        (first, g0), *rest = [(at + i, g) for at, text in chunk.literals for i, g in windows(text)]
+        ok = [f"o >= {first}", f"o - {first} + {chunk.width} <= {n}", *(f"array_contains(found.g{grams.index(g)}, o - {first} + {i})" for i, g in rest)]
+        return f"transform(filter(found.g{grams.index(g0)}, o -> {' and '.join(ok)}), o -> o - {first})"
 
-    def place(found, k: int, end: Column) -> Column:
+    def place(k: int, end: str) -> str:
         """Whether chunks from the k-th on fit at or after `end`."""
         if k > last:
-            return F.lit(True)
+            return "true"
         chunk = pattern.chunks[k]
         at_start, at_end = k == 0 and not pattern.open_start, k == last and not pattern.open_end
-        if not chunk.literals:
-            fixed = n - chunk.width if at_end else end
-            fits = (fixed >= end) & (fixed + chunk.width <= n)
-            if at_start:
-                fits = fits & (fixed == 0)
-            return fits if k == last else fits & place(found, k + 1, fixed + chunk.width)
-        places = starts(found, chunk)
-        if at_end or at_start:
-            fixed = n - chunk.width if at_end else F.lit(0)
-            fits = (fixed >= end) & F.array_contains(places, fixed)
-            if at_start and at_end:
-                fits = fits & (n == chunk.width)
-            return fits if k == last else fits & place(found, k + 1, fixed + chunk.width)
-        return _let(F.array_min(F.filter(places, lambda o: o >= end)), lambda o: F.coalesce(o.isNotNull() if k == last else o.isNotNull() & place(found, k + 1, o + chunk.width), F.lit(False)))
-
-    all_found = F.struct(*(_occurrences(proof[g], salt, n, stamps, offsets).alias(f"g{i}") for i, g in enumerate(grams)))
-    return _let(all_found, lambda found: place(found, 0, F.lit(0)))
+        fixed = f"({n} - {chunk.width})" if at_end else "0" if at_start else end
+        if chunk.literals and not at_start and not at_end:
+            here = f"s{k}"
+            return _let(here, f"array_min(filter({starts(chunk)}, o -> o >= {end}))", f"({here} is not null and {place(k + 1, f'({here} + {chunk.width})')})")
+        fits = [f"{fixed} >= {end}", f"array_contains({starts(chunk)}, {fixed})" if chunk.literals else f"{fixed} + {chunk.width} <= {n}"]
+        if at_start and at_end:
+            fits.append(f"{n} = {chunk.width}")
+        return "(" + " and ".join([*fits, place(k + 1, f"({fixed} + {chunk.width})")]) + ")"
+
+    every = ", ".join(f"'g{i}', {value.all(g)}" for i, g in enumerate(grams))
+    return _let("found", f"named_struct({every})", place(0, "0"))

@@ -68,7 +68,7 @@ _model("event", "events", "event_id", {
 }, {"user": "user_id"})
 _model("phone", "customer", "c_custkey", {"phone": (s.text(search={**_BOTH, "normalizer": DIGITS}), _PHONE)})
 _model("spaced", "part", "p_partkey", {"name": (s.text(search={**_BOTH, "normalizer": KEEP_SPACES}), "p_name")})
-_model("wide", "supplier", "s_suppkey", {"name": (s.text(search=_BOTH), "concat('Ｓ', substring(s_name, 2), ' E', char(769), ' É')")})
+_model("wide", "supplier", "s_suppkey", {"name": (s.text(search=_BOTH), "concat('Ｓ', substring(s_name, 2), ' E\\u0301 É')")})
 
 _engine = Sealed(Keyring(KEY))
 _made: dict[tuple[str, str, str], SealedTable] = {}
@@ -159,7 +159,7 @@ ids("contains_long", "customer", lambda m: m.name.contains("omer#0000001"), f"co
 ids("contains_zero", "customer", lambda m: m.name.contains("remotsuc"), f"contains({N('c_name')}, 'remotsuc')")
 ids("contains_across_space", "part", lambda m: m.name.contains("E G"), f"contains({N('p_name')}, 'eg')")
 ids("contains_unicode", "heads", lambda m: m.head.contains("Él"), f"contains({N('left(text, 200)')}, 'Él')")
-ids("contains_decomposed", "wide", lambda m: m.name.contains("É"), f"contains({N(chr(39) + 'É' + chr(39))}, 'É')")
+ids("contains_decomposed", "wide", lambda m: m.name.contains("1E\u0301 E\u0301"), f"contains({N("concat('Ｓ', substring(s_name, 2), ' E', chr(769), ' É')")}, '1ÉÉ')")
 ids("contains_full_width", "wide", lambda m: m.name.contains("supplier#0000"), f"contains({N('s_name')}, 'supplier#0000')")
 ids("contains_long_text", "turns", lambda m: m.body.contains("then"), f"contains({N('text')}, 'then') AND role = 'user'", scope="user")
 ids("starts_with", "part", lambda m: m.name.starts_with("large g"), f"starts_with({N('p_name')}, 'largeg')")
@@ -169,11 +169,11 @@ ids("ends_with_repeated", "customer", lambda m: m.name.ends_with("0100"), f"suff
 ids("like_multi_segment", "customer", lambda m: m.name.like("cu%er#%12"), _like("c_name", "cu%er#%12"))
 ids("like_same_twice", "customer", lambda m: m.name.like("%00%00%11%"), _like("c_name", "%00%00%11%"))
 ids("like_underscore", "customer", lambda m: m.name.like("%00_21%"), _like("c_name", "%00_21%"))
-ids("like_underscore_edges", "customer", lambda m: m.name.like("_ustomer%0__"), _like("c_name", "_ustomer%0__"))
+ids("like_underscore_edges", "customer", lambda m: m.name.like("_ustomer%00_"), _like("c_name", "_ustomer%00_"))
 ids("like_fixed_width", "customer", lambda m: m.name.like("cust____#00000__47"), _like("c_name", "cust____#00000__47"))
 ids("like_whole", "customer", lambda m: m.name.like("Customer#000000015"), _like("c_name", "customer#000000015"))
 ids("like_edge", "customer", lambda m: m.name.like("%%15"), _like("c_name", "%15"))
-ids("like_spaces_in_literal", "part", lambda m: m.name.like("%r% e g%"), _like("p_name", "%r%eg%"))
+ids("like_spaces_in_literal", "part", lambda m: m.name.like("%ar% e g%"), _like("p_name", "%ar%eg%"))
 ids("and_two_fields", "part", lambda m: m.and_(m.name.contains("ea"), m.kind.eq("standard")), f"contains({N('p_name')}, 'ea') AND {N('p_type')} = 'standard'")
 ids("or_two_fields", "part", lambda m: m.or_(m.name.contains("ea"), m.kind.eq("ECONOMY")), f"contains({N('p_name')}, 'ea') OR {N('p_type')} = 'economy'")
 ids("nested_bool", "customer", lambda m: m.or_(m.and_(m.name.contains("11"), m.or_(m.name.ends_with("51"), m.name.ends_with("12"))), m.custkey.eq(5)), f"(contains({N('c_name')}, '11') AND (suffix({N('c_name')}, '51') OR suffix({N('c_name')}, '12'))) OR c_custkey = 5")
@@ -182,7 +182,7 @@ ids("or_with_plain_sql", "customer_gaps", lambda m: m.or_(m.rank.eq(3), m.sql(F.
 ids("and_with_plain_sql", "customer", lambda m: m.and_(m.name.contains("12"), m.sql(F.col("nation") < 10)), f"contains({N('c_name')}, '12') AND c_nationkey < 10")
 ids("hardened_eq", "customer_hard", lambda m: m.name.eq("customer#000000007"), f"{N('c_name')} = 'customer#000000007'")
 ids("hardened_contains", "customer_hard", lambda m: m.name.contains("033"), f"contains({N('c_name')}, '033')")
-ids("hardened_like", "customer_hard", lambda m: m.name.like("cust%#%33%"), _like("c_name", "cust%#%33%"))
+ids("hardened_like", "customer_hard", lambda m: m.name.like("cust%#0%33%"), _like("c_name", "cust%#0%33%"))
 ids("mixed_hardened_and_ordinary", "customer_hard", lambda m: m.and_(m.name.ends_with("11"), m.segment.starts_with("bu")), f"suffix({N('c_name')}, '11') AND starts_with({N('c_mktsegment')}, 'bu')")
 ids("digits_contains", "phone", lambda m: m.phone.contains("12-3"), f"contains({N(PHONE_SQL, DIGITS)}, '123')")
 ids("digits_eq", "phone", lambda m: m.phone.eq("+17 0017 4623"), f"{N(PHONE_SQL, DIGITS)} = '1700174623'")
@@ -321,7 +321,7 @@ def open_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine.list_rows(sealed_table(spark, sf_dir, "part"), columns=["name"])
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, props, epoch_ms(ts) AS at_ms, CAST(value AS DECIMAL(18,4)) AS value, event_type AS kind, event_id % 2 = 1 AS odd, event_type AS raw, user_id AS user FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, props, epoch_us(ts) // 1000 AS at_ms, CAST(value AS DECIMAL(18,4)) AS value, event_type AS kind, event_id % 2 = 1 AS odd, event_type AS raw, user_id AS user FROM events")
 def open_roundtrip_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = sealed_table(spark, sf_dir, "event")
     opened = _engine.open(table.parent, table.registration)

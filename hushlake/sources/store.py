@@ -22,6 +22,8 @@ from ..plans.model import UNSCOPED, Registration
 from . import files
 
 WRITER = 1
+#: Sealed bytes that a core is given before input is left in its own partitions.
+FILE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -139,12 +141,18 @@ class Store:
     def _add(self, m: dict, rows: DataFrame) -> dict:
         """Parts of new rows: the companion is built from what was written and opens, not from the caller's rows."""
         r, seq = self.registration, m["version"] + 1
-        parent = self._write(self.sealed.seal_parent(rows, r).sortWithinPartitions(*r.keys), "parent")
+        parent = self._write(self._spread(self.sealed.seal_parent(rows, r)).sortWithinPartitions(*r.keys), "parent")
         written = self.spark.read.parquet(f"{self.path}/{parent}")
         plain = self.sealed.open(written, r)
         index = self._write(self.sealed.companion_of(plain, r).sortWithinPartitions("scope_id", "row_id"), "index") if r.profiles else None
         return {"parent": [*m["parent"], [parent, seq]], "companion": [*m["companion"], *([[index, seq]] if index else [])], "written": written}
 
+    def _spread(self, sealed: DataFrame) -> DataFrame:
+        """Small input over all cores, so that later scans use them; large input keeps the partitions it comes in."""
+        size = int(sealed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        cores = self.spark.sparkContext.defaultParallelism
+        return sealed.repartition(cores, *self.registration.keys) if size < cores * FILE_BYTES else sealed
+
     def insert(self, rows: DataFrame, *, returning: bool = False, batch: str | None = None) -> DataFrame | None:
         """Seal and add rows; missing UUIDs are made, omitted nullable fields are null.  A named batch is added once."""
         m, rows = self._manifest(), self._ready(rows)
