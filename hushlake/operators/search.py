@@ -209,7 +209,7 @@ class Sealed:
 
     def count(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, scope: str | None = None, where: Column | None = None, budgets: Budgets | None = None, cancelled: Callable[[], bool] | None = None) -> int:
         rows = self.count_rows(table, match, scope=scope, where=where)
-        n = self._within(rows, lambda: rows.first()["count"], budgets or Budgets(), cancelled)
+        n = self._within(rows, lambda: rows.collect()[0]["count"], budgets or Budgets(), cancelled)
         ensure(n <= SAFE_COUNT, "LIMIT_EXCEEDED")
         return n
 

@@ -280,12 +280,9 @@ def _long(x: int) -> str:
     return f"{x}L" if x >= 0 else f"cast('{x}' as bigint)"
 
 
-def _stamp(key: bytes, salt: str, ordinal: int | str | None = None) -> str:
+def _stamp(key: bytes, salt: str, ordinal: int | None = None) -> str:
     """stamp_col() as text."""
-    if isinstance(ordinal, int):
-        tail = f", X'{u32(ordinal).hex()}'"
-    else:
-        tail = "" if ordinal is None else f", unhex(lpad(hex({ordinal}), 8, '0'))"
+    tail = "" if ordinal is None else f", X'{u32(ordinal).hex()}'"
     return f"cast(conv(substring(sha2(concat(X'{key.hex()}', {salt}{tail}), 256), 1, 16), 16, -10) as bigint)"
 
 
@@ -305,14 +302,15 @@ class _Value:
     def first(self, gram: str) -> str:
         return f"get({self.offsets}, cast(array_position({self.stamps}, {_stamp(self.proof[gram], self.salt, 1)}) as int) - 1)"
 
-    def all(self, gram: str) -> str:
-        """Offsets of the first, second, ... occurrence, until one is missing."""
-        at = f"array_position({self.stamps}, {_stamp(self.proof[gram], self.salt, 'acc.next')})"
+    def everywhere(self) -> str:
+        """For each pair, the offsets of its first, second, ... occurrence, until one is missing."""
+        keys = ", ".join(f"X'{k.hex()}'" for k in self.proof.values())
+        stamp = f"cast(conv(substring(sha2(concat(key, {self.salt}, unhex(lpad(hex(acc.next), 8, '0'))), 256), 1, 16), 16, -10) as bigint)"
         found = f"named_struct('next', acc.next + 1, 'found', array_append(acc.found, get({self.offsets}, cast(at as int) - 1)), 'more', true)"
         none = "named_struct('next', acc.next, 'found', acc.found, 'more', false)"
-        step = f"if(acc.more, {_let('at', at, f'if(at > 0, {found}, {none})')}, acc)"
+        step = f"if(acc.more, {_let('at', f'array_position({self.stamps}, {stamp})', f'if(at > 0, {found}, {none})')}, acc)"
         start = "named_struct('next', 1, 'found', cast(array() as array<int>), 'more', true)"
-        return f"aggregate(sequence(1, greatest({self.n} - 1, 1)), {start}, (acc, i) -> {step}, acc -> acc.found)"
+        return f"transform(array({keys}), key -> aggregate(sequence(1, greatest({self.n} - 1, 1)), {start}, (acc, i) -> {step}, acc -> acc.found))"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -332,9 +330,12 @@ def _placed_once(pattern: Pattern, value: _Value) -> str:
         seen.update(g for _, g in pairs)
         if pairs:
             start = f"({value.first(pairs[0][1])} - {pairs[0][0]})"
-            terms += [f"{value.first(g)} - {place} = {start}" for place, g in pairs[1:]]
-            terms.append(f"{start} = 0" if at_start else f"{start} >= {end}")
-            terms.append(f"{start} + {chunk.width} {'=' if at_end else '<='} {value.n}")
+            if len(pairs) > 1:
+                terms.append("size(array_distinct(array(" + ", ".join(f"{value.first(g)} - {place}" for place, g in pairs) + "))) = 1")
+            if at_start or k or pairs[0][0]:
+                terms.append(f"{start} = 0" if at_start else f"{start} >= {end}")
+            if at_end or pairs[-1][0] + 2 < chunk.width:
+                terms.append(f"{start} + {chunk.width} {'=' if at_end else '<='} {value.n}")
             end = f"({start} + {chunk.width})"
         else:
             end = f"({end} + {chunk.width})"
@@ -350,8 +351,8 @@ def _placed(pattern: Pattern, value: _Value) -> str:
     def starts(chunk: Chunk) -> str:
         """Places at which all pairs of the chunk's literals agree."""
         (first, g0), *rest = [(at + i, g) for at, text in chunk.literals for i, g in windows(text)]
-        ok = [f"o >= {first}", f"o - {first} + {chunk.width} <= {n}", *(f"array_contains(found.g{grams.index(g)}, o - {first} + {i})" for i, g in rest)]
-        return f"transform(filter(found.g{grams.index(g0)}, o -> {' and '.join(ok)}), o -> o - {first})"
+        ok = [f"o >= {first}", f"o - {first} + {chunk.width} <= {n}", *(f"array_contains(found[{grams.index(g)}], o - {first} + {i})" for i, g in rest)]
+        return f"transform(filter(found[{grams.index(g0)}], o -> {' and '.join(ok)}), o -> o - {first})"
 
     def place(k: int, end: str) -> str:
         """Whether chunks from the k-th on fit at or after `end`."""
@@ -368,5 +369,4 @@ def _placed(pattern: Pattern, value: _Value) -> str:
             fits.append(f"{n} = {chunk.width}")
         return "(" + " and ".join([*fits, place(k + 1, f"({fixed} + {chunk.width})")]) + ")"
 
-    every = ", ".join(f"'g{i}', {value.all(g)}" for i, g in enumerate(grams))
-    return _let("found", f"named_struct({every})", place(0, "0"))
+    return _let("found", value.everywhere(), place(0, "0"))
