@@ -36,7 +36,7 @@ from .scratch import cut, small_batches
 
 RECALL = 0.9999
 HASHES = 128
-BLOCK_CLASSES, BLOCK_GRAMS = 512, 1 << 18
+BLOCK_CLASSES, BLOCK_GRAMS = 256, 1 << 17
 
 
 def choose_bands(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

@@ -38,7 +38,7 @@ def drop(df: DataFrame) -> None:
 
 
 #: Bytes of rows that go to a Python worker at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(df: DataFrame) -> None:
