@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,22 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; removed when the driver's program ends."""
+    folder = f"{shared_dir(spark)}/hushlake-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the program
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and return them as a new scan: survives lost executors, ends the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hushlake-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Remove the files behind a table made by cut(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/hushlake-" in name}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/hushlake-" in name}:
+        _remove(df.sparkSession, folder)
 
 
 #: Bytes of rows that go to a Python worker at a time.

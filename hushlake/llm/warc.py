@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, shared_dir, small_batches
+from .scratch import cut, session_dir, small_batches
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -188,7 +188,7 @@ def with_revisits(pages: DataFrame, *, least: int = LEAST_REVISIT, **columns) ->
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, file_bytes: int = FILE_BYTES, **columns) -> DataFrame:
-    """Write a record for each page into archives under the folder (shared by all executors; by default one in the session's) and return their manifest: archive, n_records, n_bytes.
+    """Write a record for each page into archives under the folder (shared by all executors; by default a temporary one of the session) and return their manifest: archive, n_records, n_bytes.
 
     Null html is an empty payload; of records with equal payloads of at least 1000
     bytes that with the largest page_id is the response and the others revisit it; rows that share
@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, sample: int =
     small_batches(pages)
     spark = pages.sparkSession
     rows = with_revisits(pages, **columns)
-    folder = folder or f"{shared_dir(spark)}/hushlake-warc-{uuid.uuid4().hex}"
+    folder = folder or f"{session_dir(spark)}/warc-{uuid.uuid4().hex}"
     picked, total = [], 0
     # ids first: only the payloads of so many pages are looked up
     plain = _payloads(pages, **columns)
