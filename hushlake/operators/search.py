@@ -151,6 +151,18 @@ class Sealed:
             opened[column] = codec.decode_col(spec.kind, raw, spec.precision, spec.scale).alias(name if columns is None else column)
         return rows.select(*(opened.get(c, F.col(f"`{c}`")) for c in rows.columns))
 
+    def open_rows(self, rows: DataFrame, registration: Registration, *, max_rows: int | None = None, max_bytes: int | None = None, deadline_ms: int | None = None, **options) -> list[dict]:
+        """open() brought to the driver, all or nothing: beyond a limit it is LIMIT_EXCEEDED."""
+        budgets = Budgets(batch=max_rows, fetch_bytes=max_bytes, deadline_ms=deadline_ms)
+        sealed = [c for c in (options.get("columns") or {n: registration.column(n) for n in registration.fields}).values() if c in rows.columns]
+        size = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in sealed), F.lit(0))
+        few = rows if max_rows is None else rows.limit(max_rows + 1)
+        opened = self.open(few.withColumn("__seal_size", size), registration, **options)
+        found = [r.asDict() for r in self._within(opened, opened.collect, budgets, None)]
+        ensure(max_rows is None or len(found) <= max_rows, "LIMIT_EXCEEDED")
+        ensure(sum(r.pop("__seal_size") for r in found) <= (max_bytes or float("inf")), "LIMIT_EXCEEDED")
+        return found
+
     # Predicates ----------------------------------------------------------------
 
     def _node(self, registration: Registration, match: Callable[[Match], Node] | None) -> Node | None:

@@ -154,6 +154,9 @@ def test_opened_values_are_the_plain_ones(people):
         g = got[r[0]]
         assert (g.name, g.age, g.pay, g.big, g.phone, g.on, g["at"], g["rank"]) == (r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[9])
     assert code_of(lambda: ENGINE.open(t.parent.drop("id"), t.registration)) == "ROW_CONTEXT_MISSING"
+    some = t.parent.where("id in ('1', '2')")
+    assert sorted(r["name"] for r in ENGINE.open_rows(some, t.registration, max_rows=2)) == ["Person 1 1", "Person 2 2"]
+    assert code_of(lambda: ENGINE.open_rows(some, t.registration, max_rows=1)) == code_of(lambda: ENGINE.open_rows(some, t.registration, max_bytes=40)) == "LIMIT_EXCEEDED"
     nulls = ENGINE.open(t.parent.join(t.parent.select(F.col("id").alias("x")), F.col("x") == "none", "left"), t.registration)
     assert nulls.count() == len(rows)
 
