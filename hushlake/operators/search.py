@@ -157,10 +157,10 @@ class Sealed:
         sealed = [c for c in (options.get("columns") or {n: registration.column(n) for n in registration.fields}).values() if c in rows.columns]
         size = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in sealed), F.lit(0))
         few = rows if max_rows is None else rows.limit(max_rows + 1)
-        opened = self.open(few.withColumn("__seal_size", size), registration, **options)
+        opened = self.open(few.withColumn("__hl_size", size), registration, **options)
         found = [r.asDict() for r in self._within(opened, opened.collect, budgets, None)]
         ensure(max_rows is None or len(found) <= max_rows, "LIMIT_EXCEEDED")
-        ensure(sum(r.pop("__seal_size") for r in found) <= (max_bytes or float("inf")), "LIMIT_EXCEEDED")
+        ensure(sum(r.pop("__hl_size") for r in found) <= (max_bytes or float("inf")), "LIMIT_EXCEEDED")
         return found
 
     # Predicates ----------------------------------------------------------------
@@ -202,9 +202,9 @@ class Sealed:
             ids = self._scoped(table, scope_id, "companion").where(found).select(F.col("row_id").alias(r.row))
             return parent.join(ids, r.row, "left_semi")
         names = [c for c in table.companion.columns if c not in ("scope_id", "row_id")]
-        index = self._scoped(table, scope_id, "companion").select(F.col("row_id").alias("__seal_row"), *(F.col(c).alias(f"__seal_{c}") for c in names))
-        joined = parent.join(index, F.col(r.row) == F.col("__seal_row"), "left")
-        return joined.where(Compiler(r, self.ring, scope_id, "__seal_").column(node)).select(*parent.columns)
+        index = self._scoped(table, scope_id, "companion").select(F.col("row_id").alias("__hl_row"), *(F.col(c).alias(f"__hl_{c}") for c in names))
+        joined = parent.join(index, F.col(r.row) == F.col("__hl_row"), "left")
+        return joined.where(Compiler(r, self.ring, scope_id, "__hl_").column(node)).select(*parent.columns)
 
     # Reading -------------------------------------------------------------------
 
@@ -285,7 +285,7 @@ class Sealed:
     @staticmethod
     def _position_columns(orders: list[Order], types: dict[str, str]) -> list[Column]:
         text = lambda c, t: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if t.startswith("timestamp") else c.cast("string")
-        return [text(F.col(o.column), types[o.column]).alias(f"__seal_sort_{i}") for i, o in enumerate(orders)]
+        return [text(F.col(o.column), types[o.column]).alias(f"__hl_sort_{i}") for i, o in enumerate(orders)]
 
     def list_rows(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, scope: str | None = None, where: Column | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, position: list | None = None, opened: bool = True, _internal: bool = False) -> DataFrame:
         """find_many() as a DataFrame: matching rows in order, with only the asked columns opened."""
@@ -303,7 +303,7 @@ class Sealed:
         if limit is not None:
             rows = rows.limit(limit)
         # opened after the limit, so that no row is opened in vain
-        rows = rows.select(*(names[c] for c in chosen), *(self._position_columns(orders, types) if _internal else []), *([sum((F.coalesce(F.octet_length(names[c]), F.lit(0)) for c in chosen if c in r.fields), F.lit(0)).alias("__seal_size")] if _internal else []))
+        rows = rows.select(*(names[c] for c in chosen), *(self._position_columns(orders, types) if _internal else []), *([sum((F.coalesce(F.octet_length(names[c]), F.lit(0)) for c in chosen if c in r.fields), F.lit(0)).alias("__hl_size")] if _internal else []))
         return self.open(rows, r) if opened else rows
 
     def find_many(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, scope: str | None = None, where: Column | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, cursor: str | None = None, budgets: Budgets | None = None, cancelled: Callable[[], bool] | None = None) -> Page:
@@ -326,8 +326,8 @@ class Sealed:
             for row in found:
                 ensure(not (cancelled and cancelled()), "CANCELLED")
                 data = row.asDict()
-                sealed = data.pop("__seal_size")
-                sort = [data.pop(f"__seal_sort_{i}") for i in range(len(orders))]
+                sealed = data.pop("__hl_size")
+                sort = [data.pop(f"__hl_sort_{i}") for i in range(len(orders))]
                 n += 1
                 size = len(canonical({k: v if not isinstance(v, bytearray) else bytes(v) for k, v in data.items()})) if budgets.result_bytes else 0
                 over = (budgets.fetch_bytes and spent[0] + sealed > budgets.fetch_bytes) or (budgets.decrypted_bytes and spent[1] + sealed > budgets.decrypted_bytes) or (budgets.result_bytes and result_bytes + size > budgets.result_bytes)
@@ -373,8 +373,8 @@ class Sealed:
         items, sorts = [], []
         for row in rows:
             data = row.asDict()
-            sorts.append([data.pop(f"__seal_sort_{i}") for i in range(len(orders))])
-            items.append({k: v for k, v in data.items() if not k.startswith("__seal_")})
+            sorts.append([data.pop(f"__hl_sort_{i}") for i in range(len(orders))])
+            items.append({k: v for k, v in data.items() if not k.startswith("__hl_")})
         ensure(not orders or all(a != b for a, b in zip(sorts, sorts[1:], strict=False)), "INVALID_CANDIDATE_SHAPE")
         more = limit is not None and len(items) == limit and orders
         return Page(items, seal_cursor(self.ring, first, scope_id, digest, sorts[-1]) if more else None)
