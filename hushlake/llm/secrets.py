@@ -168,10 +168,14 @@ _LOW_HEX = _table("0123456789abcdef")
 _CODE = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
-def _runs(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of at least so many."""
-    step = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def _runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of at least so many within one row."""
+    n = len(inside)
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[edges], after[edges - 1] = False, False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     long = ends - starts >= least
     return starts[long], ends[long]
 
@@ -180,7 +184,7 @@ def _candidates(texts: Texts) -> np.ndarray:
     """Rows that may hold a secret or an encoded layer."""
     data = texts.data
     n = len(data)
-    hits = [_runs(_LOW_HEX[data], 24)[0]]
+    hits = [_runs(_LOW_HEX[data], texts.offsets, 24)[0]]
     lower = data | 0x20
     for word in (b"pass", b"secr", b"toke", b"api"):
         hit = lower[: n - 3] == word[0]
@@ -193,7 +197,7 @@ def _candidates(texts: Texts) -> np.ndarray:
         hits.append(np.flatnonzero((data[: n - 1] == 0x5C) & ((data[1:] == 0x75) | (data[1:] == 0x78))))
     raw = data.tobytes()
     coded = []
-    for a, b in zip(*map(np.ndarray.tolist, _runs(_CODE[data], 16)), strict=True):
+    for a, b in zip(*map(np.ndarray.tolist, _runs(_CODE[data], texts.offsets, 16)), strict=True):
         piece = raw[a:b].decode()
         if _decode64(piece) is not None or any(_decode64(p[0]) is not None for p in _PIECE.finditer(piece)):
             coded.append(a)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import urllib.parse
 
+import pyarrow as pa
 import pytest
 
 from hushlake.llm import pii, secrets
@@ -81,6 +82,18 @@ def test_secrets_equal_plain_patterns(spark, texts):
     assert sum(w[1] + w[2] + w[3] for w in want) > 3
 
 
+def test_secrets_do_not_depend_on_the_row_before():
+    plain = "password=hunter22x"
+    coded = base64.b64encode(plain.encode()).decode().rstrip("=")
+    rows = ["f" * 24, "0" * 30, "", None, "a" * 23, "b" * 23, f"key {coded}", f"{coded}", "next", "see " + "c" * 24, "d" * 24 + " end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(secrets._run([batch])).to_pydict()
+    assert got["n_hex"] == [sum(s[0] == "hex" for s in brute_secrets(t)) for t in rows]
+    assert got["base_sha256"] == [digest(brute_secrets(t)) for t in rows]
+    assert got["spans"] == [secrets.joined(secrets.find(t or "")[1]) for t in rows]
+    assert got["spans"][6] == f"assign:4:{4 + len(coded)}"
+
+
 def test_secrets_under_layers():
     plain = "password=hunter22x"
     b64 = lambda b: base64.b64encode(b).decode()
