@@ -39,11 +39,24 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and return them as a new scan: survives lost executors, ends the lineage."""
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, *, free: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and return them as a new scan: survives lost executors, ends the lineage.
+
+    With `free`, the files of the shuffles behind them go once the rows are written, and not when the driver's JVM next collects.
+    """
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    if free:
+        spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -68,12 +68,12 @@ def _anchors(window: int):
                     ahead[less] = j
                 picked = at + ahead
                 head = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
-                prints = (words.span(at, window) >> U64(32)).astype(np.uint32)
+                prints = words.span(at, window)
                 row = words.row[at[head]]
                 marks = np.array([_mark(texts, r) for r in range(len(texts))], dtype=np.int64)
                 pos = at[head] - words.first[row]
                 packed = (marks[row] << (_POS + _AHEAD)) | (ahead[head] << _POS) | pos
-                ends = np.append(head, len(at)).astype(np.int32) * 4
+                ends = np.append(head, len(at)).astype(np.int32) * 8
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(best[head].view(np.int64)),
@@ -102,9 +102,10 @@ def _later(h, doc, at, ends, prints):
     prints = prints[np.repeat(ends[:-1][rows], sizes) + inner]
     ahead = (((at[rows] >> _POS) & ((1 << _AHEAD) - 1))[row] - inner).astype(U64)
     group = run[rows][row].astype(U64)
-    order = np.lexsort((prints, ahead, group)) if run[-1] >= 1 << 24 else np.argsort((group << U64(40)) | (ahead << U64(32)) | prints, kind="stable")
-    g, a, p = group[order], ahead[order], prints[order]
-    head = np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (p[1:] != p[:-1])])
+    place = (group << U64(_AHEAD)) | ahead
+    order = np.lexsort((prints, place))
+    g, p = place[order], prints[order]
+    head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
     who = doc[rows][row][order]
     hit = np.zeros(len(row), dtype=np.int64)
     hit[order] = who > who[np.flatnonzero(head)][np.cumsum(head) - 1]
@@ -124,8 +125,8 @@ def _repeats(limit: int):
     def solve(table):
         h, doc, at = (table[c].to_numpy() for c in ("h", "doc", "at"))
         column = table["prints"].combine_chunks()
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
-        rows, mask = _later(h, doc, at, ends.astype(np.int64), np.frombuffer(column.buffers()[2], np.uint32))
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        rows, mask = _later(h, doc, at, ends.astype(np.int64), np.frombuffer(column.buffers()[2], np.uint64))
         n = len(rows)
         return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(at[rows]), pa.array(mask), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
 
@@ -164,14 +165,14 @@ def _repeats(limit: int):
 
 def _explode(batches):
     """One row for each long window of the runs that were handed on."""
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("bit", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("ahead", pa.int64()), ("w", pa.int64()), ("bit", pa.int64())])
     for batch in batches:
         cols = batch.to_pydict()
         for doc, at, h, prints in zip(cols["doc"], cols["at"], cols["h"], cols["prints"], strict=True):
-            p = np.frombuffer(prints, np.uint32).astype(np.int64)
+            p = np.frombuffer(prints, np.int64)
             i = np.arange(len(p))
             ahead = ((at >> _POS) & ((1 << _AHEAD) - 1)) - i
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), at)), pa.array(np.full(len(p), h)), pa.array((ahead << 32) | p), pa.array(1 << i)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), at)), pa.array(np.full(len(p), h)), pa.array(ahead), pa.array(p), pa.array(1 << i)], schema=schema)
 
 
 def _applied(window: int):
@@ -225,13 +226,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     anchors = rows.where("doc_id is not null and text is not null").mapInArrow(_anchors(window), "h long, doc long, at long, prints binary")
     sorted_ = anchors.repartition("h").sortWithinPartitions("h", "doc")
-    found = cut(sorted_.mapInArrow(_repeats(run_limit), "doc long, at long, mask long, h long, prints binary"))
+    found = cut(sorted_.mapInArrow(_repeats(run_limit), "doc long, at long, mask long, h long, prints binary"), free=True)
     flags = found.where("mask is not null").select("doc", "at", "mask")
     common = found.where("mask is null").select("doc", "at", "h", "prints")
     if not empty(common):
-        wide = cut(common.mapInArrow(_explode, "doc long, at long, h long, w long, bit long"))
-        least = wide.groupBy("h", "w").agg(F.min("doc").alias("least"))
-        more = wide.join(least, ["h", "w"]).where("doc > least").groupBy("doc", "at").agg(F.bit_or("bit").alias("mask"))
+        wide = cut(common.mapInArrow(_explode, "doc long, at long, h long, ahead long, w long, bit long"))
+        least = wide.groupBy("h", "ahead", "w").agg(F.min("doc").alias("least"))
+        more = wide.join(least, ["h", "ahead", "w"]).where("doc > least").groupBy("doc", "at").agg(F.bit_or("bit").alias("mask"))
         flags = flags.unionByName(more)
     per_doc = flags.groupBy(F.col("doc").alias("doc_id"), F.shiftrightunsigned("at", _POS + _AHEAD).alias("mark")).agg(F.collect_list(F.array("at", "mask")).alias("flags"))
     marked = rows.withColumn("mark", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(0xFFFFFF))

@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from hushlake.llm.decontaminate import decontaminate
+from hushlake.llm.kernel import SPACE, U64, Texts, Words
 from hushlake.llm.substring_dedup import dedup_substrings
 
 PASSAGE = " ".join(f"w{i}" for i in range(60))
@@ -45,6 +47,23 @@ def test_substring_dedup_equals_brute_force(spark, docs, window, limit):
     assert sorted((tuple(r) for r in got), key=str) == brute_dedup(docs, window)
 
 
+@pytest.mark.parametrize("limit", [100_000, 1])
+def test_windows_that_share_half_a_fingerprint_are_not_repeats(spark, limit):
+    short = lambda texts: Words(Texts.of(texts), SPACE)
+    heads = [" ".join(f"c{i}x{j}" for j in range(7)) for i in range(4000)]
+    words = short(heads)
+    head = heads[int(words.span(words.first[:-1], 7).argmin())]
+    tails = [f"{head} " + " ".join(f"t{i}x{j}" for j in range(6)) for i in range(300_000)]
+    words = short(tails)
+    half = words.span(words.first[:-1], 13) >> U64(32)
+    order = half.argsort(kind="stable")
+    at = np.flatnonzero(half[order[1:]] == half[order[:-1]])
+    assert len(at)
+    rows = [(2 * n + k, tails[order[i + k]]) for n, i in enumerate(at.tolist()) for k in (0, 1)]
+    got = dedup_substrings(frame(spark, rows), run_limit=limit).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
+
+
 def brute_hits(rows, items, window=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
