@@ -62,6 +62,7 @@ _model("supplier", "supplier", "s_suppkey", {"name": (s.text(search=_BOTH), "s_n
 _model("orders", "orders", "o_orderkey", {"priority": (s.text(search=_BOTH), "o_orderpriority")}, {"customer": "o_custkey", "total": "cast(o_totalprice as decimal(12,2))", "day": "o_orderdate"})
 _model("turns", "conversations", "concat(conv_id, ':', turn)", {"body": (s.text(search=_BOTH), "text")}, {"conv": "conv_id", "turn": "turn"}, scope="role")
 _model("heads", "documents", "doc_id", {"head": (s.text(search={"substring": {"skip_grams": False}}), "left(text, 200)")}, {"lang": "lang", "source": "source"})
+_model("whole", "documents", "doc_id", {"text": (s.text(search={"substring": {"skip_grams": False}}, nullable=True), "text")}, {"lang": "lang", "source": "source"})
 _model("event", "events", "event_id", {
     "props": (s.json(), "props"), "at": (s.instant(), "ts"), "value": (s.decimal(18, 4), "cast(value as decimal(18,4))"),
     "kind": (s.text(search={"exact": True}), "event_type"), "odd": (s.boolean(), "event_id % 2 = 1"), "raw": (s.bytes_(), "cast(event_type as binary)"),
@@ -159,6 +160,7 @@ ids("contains_long", "customer", lambda m: m.name.contains("omer#0000001"), f"co
 ids("contains_zero", "customer", lambda m: m.name.contains("remotsuc"), f"contains({N('c_name')}, 'remotsuc')")
 ids("contains_across_space", "part", lambda m: m.name.contains("E G"), f"contains({N('p_name')}, 'eg')")
 ids("contains_unicode", "heads", lambda m: m.head.contains("Él"), f"contains({N('left(text, 200)')}, 'Él')")
+ids("contains_unicode_whole", "whole", lambda m: m.text.contains("Él"), f"contains({N('text')}, 'Él')")
 ids("contains_decomposed", "wide", lambda m: m.name.contains("1E\u0301 E\u0301"), f"contains({N("concat('Ｓ', substring(s_name, 2), ' E', chr(769), ' É')")}, '1ÉÉ')")
 ids("contains_full_width", "wide", lambda m: m.name.contains("supplier#0000"), f"contains({N('s_name')}, 'supplier#0000')")
 ids("contains_long_text", "turns", lambda m: m.body.contains("then"), f"contains({N('text')}, 'then') AND role = 'user'", scope="user")

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hushlake import queries
 from hushlake.errors import SealError
 from hushlake.functions.keys import Keyring
 from hushlake.functions.normalize import DIGITS, compact, normalize
@@ -233,3 +234,13 @@ def test_plans_are_what_they_should_be(people):
     assert f"pos_stamps_{p.tag}" in plan and f"eq_stamp_{t.registration.profile('age', 'exact').tag}" not in plan
     listed = ENGINE.list_rows(t, lambda m: m.name.contains("son"), scope="a", columns=["age"], limit=3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in listed and "age_ct" in listed and "pay_ct" not in listed
+
+
+def test_whole_documents_are_searched(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(7001, "x" * 500 + " É l"), (7002, "É" + "y" * 300), (7003, None), (7004, ""), (7005, "E\u0301l " + "z" * 300)], "doc_id long, text string")
+    docs = rows.unionByName(odd, allowMissingColumns=True).localCheckpoint()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r["id"] for r in queries.QUERIES["contains_unicode_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted(str(r.doc_id) for r in docs.collect() if "Él" in compact(r.text or ""))
+    assert {"7001", "7005"} <= set(got)
