@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -265,7 +266,16 @@ _ON = f"contains({N('o_orderpriority')}, 'urgent')"
 @query(f"""SELECT 'on' AS form, c_custkey::VARCHAR AS id, o_orderkey::VARCHAR AS order_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND {_ON} WHERE c_custkey < 30
 UNION ALL SELECT 'where', c_custkey::VARCHAR, o_orderkey::VARCHAR FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 30 AND {_ON}""")
 def left_join_on_vs_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = sealed_table(spark, sf_dir, "customer").parent.where(F.col("id").cast("long") < 30).select("id")
+    return _on_and_where(spark, sf_dir, sealed_table(spark, sf_dir, "customer").parent.where(F.col("id").cast("long") < 30).select("id"))
+
+
+@query(f"""SELECT 'on' AS form, c_custkey::VARCHAR AS id, o_orderkey::VARCHAR AS order_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND {_ON}
+UNION ALL SELECT 'where', c_custkey::VARCHAR, o_orderkey::VARCHAR FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE {_ON}""")
+def left_join_on_vs_where_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_and_where(spark, sf_dir, sealed_table(spark, sf_dir, "customer").parent.select("id"))
+
+
+def _on_and_where(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     orders = sealed_table(spark, sf_dir, "orders")
     r, urgent = orders.registration, lambda m: m.priority.contains("urgent")
     first = _engine.where(orders, urgent).select(F.col("id").alias("order_id"), F.col("customer").cast("string").alias("id"))
@@ -351,9 +361,10 @@ def tamper_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Order and pages ----------------------------------------------------------------
 
 
-def _pages(spark: SparkSession, sf_dir: str, model: str, match, size: int, most: int, **options) -> list[dict]:
+def _pages(spark: SparkSession, sf_dir: str, model: str, match, size: int, most: int | None, **options) -> list[dict]:
+    """The rows of so many pages, or of all."""
     items, cursor = [], None
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         page = _engine.find_many(sealed_table(spark, sf_dir, model), match, limit=size, cursor=cursor, **options)
         items, cursor = items + page.items, page.next_cursor
         if cursor is None:
@@ -377,7 +388,14 @@ def page_desc_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority FROM orders WHERE o_custkey < 40 AND contains({N('o_orderpriority')}, 'med')")
 def page_exhaust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages by a time stamp, one after the other, are all rows once."""
-    items = _pages(spark, sf_dir, "orders", lambda m: m.and_(m.priority.contains("med"), m.sql(F.col("customer") < 40)), 40, 99, columns=["priority"], order_by=Order("day"))
+    items = _pages(spark, sf_dir, "orders", lambda m: m.and_(m.priority.contains("med"), m.sql(F.col("customer") < 40)), 40, None, columns=["priority"], order_by=Order("day"))
+    return spark.createDataFrame([(i["id"], i["priority"]) for i in items], "id string, priority string")
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority FROM orders WHERE contains({N('o_orderpriority')}, 'med')")
+def page_exhaust_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages over all orders that match, until there is no next one."""
+    items = _pages(spark, sf_dir, "orders", lambda m: m.priority.contains("med"), 500, None, columns=["priority"], order_by=Order("day"))
     return spark.createDataFrame([(i["id"], i["priority"]) for i in items], "id string, priority string")
 
 
