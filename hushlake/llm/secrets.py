@@ -2,19 +2,19 @@
 
 Each text starts a worklist of layers.  A layer is scanned, its findings are
 mapped back to the text it came from, and whatever in it looks encoded (percent
-escapes, Unicode escapes, base64, and gzip or zlib data inside that) is
-decoded into further layers, until no new layer appears.  A layer that was seen
+escapes, Unicode escapes, base64 in one or many lines, and gzip or zlib data
+inside any of them) is decoded into further layers, until no new layer appears.
+Layers are bytes, whatever control characters they hold.  A layer that was seen
 before at the same place is not taken again, so cycles end.
 
 Percent and Unicode escapes are decoded for a whole layer and keep a place for
-every character; a base64 piece maps as a whole to the characters that
-encode it.
+every byte; a base64 piece and compressed data map as a whole to the characters
+that encode them.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -30,133 +30,197 @@ from .scratch import small_batches
 KINDS = ("assign", "access", "hex")
 
 # Fixed patterns; key letters count in either case, ASCII only.
-_ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
-_ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[ux]([0-9A-Fa-f]+)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
-_PIECE = re.compile(r"[A-Za-z0-9]{16,}+={0,2}")
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_PATTERNS = [(kind, least, group, re.compile(p, re.A), re.compile(p.encode())) for kind, least, group, p in (("assign", 6, 2, _ASSIGN), ("access", 20, 0, r"AKIA[A-Z0-9]+"), ("hex", 24, 0, r"(?<![0-9a-f])[0-9a-f]{24,}+"))]
+
+_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+_ONE_ESCAPE = re.compile(rb"\\u\{([0-9A-Fa-f]+)\}|\\[ux]([0-9A-Fa-f]{2}(?:(?<=\\u..)[0-9A-Fa-f]{2})?)|\\(.)|(\+)", re.S)
+# Compressed bytes in escapes: what a form or a string literal has besides, decoded only in search of them.
+_FORM = re.compile(rb"(?:%[0-9A-Fa-f]{2}|\+)+")
+_LITERAL = re.compile(rb"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\[abfnrtv0\\'"])+""")
+_SHORT = {b"a": 7, b"b": 8, b"f": 12, b"n": 10, b"r": 13, b"t": 9, b"v": 11, b"0": 0}
+_PACKED = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
+
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}+={0,2}")
+_PIECE = re.compile(rb"[A-Za-z0-9]{16,}+={0,2}")
+_FOLD = rb"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+_WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:" + _FOLD + rb"[A-Za-z0-9+/_-]{16,}+)*+(?:" + _FOLD + rb"[A-Za-z0-9+/_-]++)?={0,2}")
+_FOLDS = re.compile(_FOLD)
 
 #: Bytes that a compressed layer may grow to; protects a worker from a decompression bomb, longer ones are not unpacked.
 MAX_UNPACKED = 64 << 20
 
 
-def base(text: str) -> list[tuple[str, int, int]]:
+def base(text: str | bytes) -> list[tuple[str, int, int]]:
     """The base spans of one layer, by start and then kind."""
-    out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
-    out += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    at = 3 if isinstance(text, str) else 4
+    out = [(p[0], *m.span()) for p in _PATTERNS for m in p[at].finditer(text) if m.end(p[2]) - m.start(p[2]) >= p[1]]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """gzip or zlib data, inflated; None if it is neither."""
-    if raw[:2] == b"\x1f\x8b" or len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        try:
-            box = zlib.decompressobj(47)
-            out = box.decompress(raw, MAX_UNPACKED)
-            return None if box.unconsumed_tail else out
-        except zlib.error:
-            return None
-    return None
+def _packed(raw: bytes, i: int = 0) -> bool:
+    """Whether the header of gzip or zlib data stands at i."""
+    return raw[i : i + 3] == b"\x1f\x8b\x08" or len(raw) > i + 6 and raw[i] & 15 == 8 and raw[i] < 0x80 and (raw[i] << 8 | raw[i + 1]) % 31 == 0
 
 
-def _readable(raw: bytes) -> str | None:
-    """The bytes as text if they are UTF-8 without control characters."""
-    unpacked = _unpack(raw)
+def _unpack(raw: bytes, i: int = 0) -> tuple[bytes, int, bool]:
+    """The gzip or zlib data at i inflated as far as it goes, where it ends, and whether it is complete; no bytes if it is neither."""
+    if not _packed(raw, i):
+        return b"", i, False
+    box, out, size = zlib.decompressobj(47), [], 0
     try:
-        text = (raw if unpacked is None else unpacked).decode()
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 6 and text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable() else None
-
-
-def _decode64(piece: str) -> str | None:
-    piece = piece.rstrip("=").translate({0x2D: "+", 0x5F: "/"})
+        while i < len(raw) and not box.eof:
+            part = box.decompress(raw[i : i + 1024], MAX_UNPACKED + 1 - size)
+            i, size = min(i + 1024, len(raw)), size + len(part)
+            out.append(part)
+            if size > MAX_UNPACKED:
+                return b"", i, False
+    except zlib.error:
+        pass
+    return b"".join(out), i - len(box.unused_data), box.eof
+
+
+def _decode64(piece: bytes) -> bytes:
+    piece = _FOLDS.sub(b"", piece).rstrip(b"=").translate(_STANDARD)
     if len(piece) % 4 == 1:
         piece = piece[:-1]
-    try:
-        raw = base64.b64decode(piece + "=" * (-len(piece) % 4))
-    except binascii.Error:
-        return None
-    return _readable(raw)
+    return base64.b64decode(piece + b"=" * (-len(piece) % 4))
+
+
+_STANDARD = bytes.maketrans(b"-_", b"+/")
 
 
-def _rewritten(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """The text with each match decoded, and for each of its characters where it starts and ends in the text before."""
+def _good(raw: bytes) -> bool:
+    """Whether decoded bytes are text or compressed, so that they were cut at the right places."""
+    if _unpack(raw)[0]:
+        return True
+    try:
+        return len(raw.decode()) >= 6
+    except UnicodeDecodeError:
+        return False
+
+
+def _pieces(layer: bytes):
+    """Base64 in a layer: start, end and decoded bytes; lines of wrapped base64 as one where they fit together."""
+    for block in _WRAPPED.finditer(layer):
+        raw, folds = _decode64(block[0]), [m.start() for m in _FOLDS.finditer(block[0])]
+        if folds and _good(raw):
+            yield *block.span(), raw
+            continue
+        if len(folds) > 1 and _good(short := _decode64(block[0][: folds[-1]])):
+            yield block.start(), block.start() + folds[-1], short
+            yield from _lines(layer, block.start() + folds[-1], block.end())
+            continue
+        if folds:
+            yield *block.span(), raw
+        yield from _lines(layer, *block.span())
+
+
+def _lines(layer: bytes, start: int, end: int):
+    for m in _BASE64.finditer(layer, start, end):
+        raw = _decode64(m[0])
+        yield *m.span(), raw
+        if not _good(raw):
+            for p in _PIECE.finditer(layer, *m.span()):
+                if p.span() != m.span():
+                    yield *p.span(), _decode64(p[0])
+
+
+def _rewritten(layer: bytes, pattern: re.Pattern, decode) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+    """The layer with each match decoded, and for each of its bytes where it starts and ends in the layer before."""
     out, starts, ends, last = [], [], [], 0
-    for m in pattern.finditer(text):
-        got = decode(m[0])
-        out += [text[last : m.start()], "".join(c for c, _, _ in got)]
-        starts += [*range(last, m.start()), *(m.start() + a for _, a, _ in got)]
-        ends += [*range(last + 1, m.start() + 1), *(m.start() + b for _, _, b in got)]
+    for m in pattern.finditer(layer):
+        got, a, b = decode(m[0])
+        out += [layer[last : m.start()], got]
+        starts += [np.arange(last, m.start()), np.array(a, dtype=np.int64) + m.start()]
+        ends += [np.arange(last + 1, m.start() + 1), np.array(b, dtype=np.int64) + m.start()]
         last = m.end()
     if not last:
         return None
-    return "".join([*out, text[last:]]), [*starts, *range(last, len(text))], [*ends, *range(last + 1, len(text) + 1)]
-
-
-def _percent(run: str) -> list[tuple[str, int, int]]:
-    """Characters of a run of percent escapes, each with the escapes it takes; bytes that are no UTF-8 stay replaced one by one."""
-    raw, out, i = bytes.fromhex(run.replace("%", "")), [], 0
-    while i < len(raw):
-        size = 1 + (raw[i] >= 0xC0) + (raw[i] >= 0xE0) + (raw[i] >= 0xF0)
-        try:
-            c = raw[i : i + size].decode()
-        except UnicodeDecodeError:
-            c, size = "\ufffd", 1
-        out.append((c, 3 * i, 3 * (i + size)))
-        i += size
-    return out
+    return b"".join([*out, layer[last:]]), np.concatenate([*starts, np.arange(last, len(layer))]), np.concatenate([*ends, np.arange(last + 1, len(layer) + 1)])
+
+
+def _percent(run: bytes) -> tuple[bytes, list[int], list[int]]:
+    """Bytes of a run of percent escapes (and of plus signs for spaces), each with its place."""
+    out, starts, i = bytearray(), [], 0
+    while i < len(run):
+        starts.append(i)
+        plus = run[i] == 0x2B
+        out.append(0x20 if plus else int(run[i + 1 : i + 3], 16))
+        i += 1 if plus else 3
+    return bytes(out), starts, [*starts[1:], len(run)]
 
 
-def _escapes(run: str) -> list[tuple[str, int, int]]:
-    out: list[tuple[str, int, int]] = []
+def _escapes(run: bytes) -> tuple[bytes, list[int], list[int]]:
+    """Bytes of a run of escapes: codes below 256 are bytes, others are UTF-8."""
+    out, starts, ends = bytearray(), [], []
     for m in _ONE_ESCAPE.finditer(run):
-        code = int(m[1] or m[2], 16)
-        if 0xDC00 <= code < 0xE000 and out and "\ud800" <= out[-1][0] < "\udc00":
-            high, start, _ = out.pop()
-            out.append((chr(0x10000 + (ord(high) - 0xD800) * 0x400 + code - 0xDC00), start, m.end()))
-        else:
-            out.append((chr(code) if code < 0x110000 else "\ufffd", *m.span()))
-    return [("\ufffd" if "\ud800" <= c < "\ue000" else c, a, b) for c, a, b in out]
+        code = int(m[1] or m[2], 16) if m[1] or m[2] else _SHORT.get(m[3], m[3][0])
+        got = bytes([code]) if code < 256 else chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"\xff"
+        out += got
+        starts += [m.start()] * len(got)
+        ends += [m.end()] * len(got)
+    return bytes(out), starts, ends
+
+
+def _children(layer: bytes):
+    """Layers under a layer: bytes, and for each where it starts and ends in the layer."""
+    if got := _unpack(layer)[0]:
+        yield got, 0, len(layer)
+    for pattern, decode, wide in ((_PERCENT, _percent, _FORM), (_ESCAPE, _escapes, _LITERAL)):
+        if plain := _rewritten(layer, pattern, decode):
+            yield plain
+            data, starts, ends = _rewritten(layer, wide, decode)
+            end = 0
+            for m in _PACKED.finditer(data):
+                i = m.start()
+                # a header has an escape in its first two bytes, or else it is text
+                if i >= end and (ends[i : i + 2] - starts[i : i + 2]).max() > 1:
+                    got, stop, whole = _unpack(data, i)
+                    if got and (whole or data[i] == 0x1F):
+                        end = stop
+                        yield got, starts[i], ends[stop - 1]
+    for a, b, raw in _pieces(layer):
+        yield raw, a, b
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
     """Base spans, and all spans with the depth of the layer they were found in (0: the text itself)."""
     own = base(text)
     spans = {(k, a, b): 0 for k, a, b in own}
-    work: list[tuple[str, list[int] | None, list[int] | None, int]] = [(text, None, None, 0)]
-    seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
+    data = text.encode("utf-8", "surrogatepass")
+    starts = np.arange(len(data)) if len(data) == len(text) else np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+    work = [(data, starts, starts + 1, 0)]
+    seen = {(hashlib.sha256(data).digest(), 0, len(text))}
     while work:
         layer, starts, ends, depth = work.pop()
         if depth:
             for k, a, b in base(layer):
-                spans.setdefault((k, starts[a], ends[b - 1]), depth)
-        children = []
-        for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _escapes)):
-            if got := _rewritten(layer, pattern, decode):
-                decoded, s, e = got
-                children.append((decoded, s if starts is None else [starts[i] for i in s], e if ends is None else [ends[i - 1] for i in e]))
-        for m in _BASE64.finditer(layer):
-            pieces = [m.span()]
-            if _decode64(m[0]) is None:
-                pieces = [(m.start() + p.start(), m.start() + p.end()) for p in _PIECE.finditer(m[0])]
-            for a, b in pieces:
-                if decoded := _decode64(layer[a:b]):
-                    s, e = (a, b) if starts is None else (starts[a], ends[b - 1])
-                    children.append((decoded, [s] * len(decoded), [e] * len(decoded)))
-        for decoded, s, e in children:
-            key = (hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).digest(), s[0] if s else 0, e[-1] if e else 0)
-            if decoded and key not in seen:
+                spans.setdefault((k, int(starts[a]), int(ends[b - 1])), depth)
+        for decoded, a, b in _children(layer):
+            if not decoded:
+                continue
+            if isinstance(a, np.ndarray):
+                s, e = starts[a], ends[b - 1]
+            else:
+                s, e = np.broadcast_to(starts[a], len(decoded)), np.broadcast_to(ends[b - 1], len(decoded))
+            key = (hashlib.sha256(decoded).digest(), int(s[0]), int(e[-1]))
+            if key not in seen:
                 seen.add(key)
                 work.append((decoded, s, e, depth + 1))
     return own, sorted(((k, a, b, d) for (k, a, b), d in spans.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+# What a decoded piece needs to hold a secret or another layer.
+_HINT = re.compile(rb"(?i:pass|secr|toke|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}")
+
+
+def _hint(piece: bytes) -> bool:
+    raw = _decode64(piece)
+    return _packed(raw) or _HINT.search(raw) is not None
+
+
 def _table(chars: str) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(chars.encode())] = True
@@ -198,8 +262,8 @@ def _candidates(texts: Texts) -> np.ndarray:
     raw = data.tobytes()
     coded = []
     for a, b in zip(*map(np.ndarray.tolist, _runs(_CODE[data], texts.offsets, 16)), strict=True):
-        piece = raw[a:b].decode()
-        if _decode64(piece) is not None or any(_decode64(p[0]) is not None for p in _PIECE.finditer(piece)):
+        piece = raw[a:b]
+        if raw[b : b + 1] in (b"\n", b"\r", b"\\") or _hint(piece) or any(_hint(p[0]) for p in _PIECE.finditer(piece)):
             coded.append(a)
     hits.append(np.array(coded, dtype=np.int64))
     return np.unique(np.searchsorted(texts.offsets, np.concatenate(hits), side="right") - 1)

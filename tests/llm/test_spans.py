@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -108,6 +110,25 @@ def test_secrets_under_layers():
     assert secrets.find("%25" * 50 + "41")[1] == []
 
 
+def test_secrets_under_any_layer():
+    plain = b"password=hunter22x"
+    noise = random.Random(1).randbytes(300).hex(" ", 3).encode()
+    b64 = lambda b: base64.b64encode(b).decode()
+    inner = gzip.compress(plain)
+    coded = [b64(gzip.compress(inner)), b64(gzip.compress(zlib.compress(plain))), b64(zlib.compress(gzip.compress(inner)))]
+    coded += [b64("\ufeff".encode() + plain), b64(b"a\xc2\xa0b " + plain), b64(b"x\0\x0c " + plain + "\u200d".encode()), b64(b"\xff\xfe " + plain)]
+    coded += [urllib.parse.quote(inner, safe=""), "x" + urllib.parse.quote(inner, safe=""), urllib.parse.quote_plus(zlib.compress(noise + plain)), "".join(f"\\x{c:02x}" for c in inner), "".join(f"\\u{c:04x}" for c in inner), repr(gzip.compress(noise + plain))[2:-1]]
+    wrapped = base64.encodebytes(gzip.compress(noise + plain)).decode().strip()
+    coded += [wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\\n"), base64.encodebytes(b"some words " * 6 + plain).decode().strip()]
+    for text in coded:
+        row = f"é see {text} end"
+        _, spans = secrets.find(row)
+        assert any(s[0] == "assign" and s[3] > 0 and s[1] >= 6 and s[2] <= 6 + len(text) for s in spans), text
+        assert secrets._candidates(secrets.Texts.of(["", row, "none"])).tolist() == [1], text
+    for text in ("HG is text " + "x" * 30, b64(b"HG no zlib, password=hunter22x")):
+        assert bool(secrets.find(text)[1]) == (text[0] != "H")
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(none).count() == secrets.find_secrets(none).count() == 0
