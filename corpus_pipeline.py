@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from hushlake.llm import decontaminate as decontamination
 from hushlake.llm import line_dedup, ngram_join, quality
 from hushlake.llm.queries import mixed
+from hushlake.llm.scratch import cut, empty
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    gone = ngram_join.ngram_join(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, with the smallest id; each row goes or stays for its own text."""
+    rows = cut(ngram_join.ngram_join(docs, with_mark=True).where("has_words").select("doc_id", "mark", "kept"))
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    on = lambda t: (marked["doc_id"] == t["doc_id"]) & (marked["__mark"] == t["mark"])
+    gone = rows.where("not kept").select("doc_id", "mark").distinct()
+    # rows of one group that share the smallest id
+    alike = rows.where("kept").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("mark").alias("mark")).where("n > 1")
+    if empty(alike):
+        return marked.join(gone, on(gone), "left_anti").select(*docs.columns)
+    alike = cut(alike)
+    drop = gone.unionByName(rows.where("kept").join(alike.select("doc_id"), "doc_id").select("doc_id", "mark").distinct())
+    one = marked.join(alike, on(alike), "left_semi").groupBy("doc_id", "__mark").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return marked.join(drop, on(drop), "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +72,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hushlake.llm.scratch import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -80,7 +80,7 @@ def _class_ids(row: np.ndarray, value: np.ndarray, rows: int) -> list[bytes | No
 
 def _sketch(n: int, bands: int, rows: int):
     keys = mix(np.arange(1, bands * rows + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("v", pa.binary()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("v", pa.binary()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -103,6 +103,7 @@ def _sketch(n: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(texts.lo, len(texts)),
+                        batch.column(2).slice(texts.lo, len(texts)),
                         pa.array([None if gone else x for x, gone in zip(ids, none, strict=True)], pa.binary()),
                         pa.array(n_grams),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), flat, mask=pa.array(none)),
@@ -227,7 +228,7 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = RECALL, hashes: int = HASHES, block_classes: int = BLOCK_CLASSES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = RECALL, hashes: int = HASHES, block_classes: int = BLOCK_CLASSES, block_grams: int = BLOCK_GRAMS, with_mark: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_links (other documents at or above the threshold), component_id (smallest id reached by links), kept (it is that one), class_id (smallest id with an equal n-gram set).
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and all characters from U+0080; a text of fewer
@@ -236,11 +237,14 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     class_id their own id, kept.  Rows that repeat an id count as documents of
     their own; equal sets are linked with each other.  Other columns are
     ignored, whatever their names; an empty table gives an empty table.
+
+    With with_mark there are two more columns that tell rows apart that share an
+    id: mark (xxhash64 of the text) and has_words (whether the row can link).
     """
     small_batches(docs)
     bands, rows = choose_bands(threshold, recall, hashes)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(texts.mapInArrow(_sketch(n, bands, rows), "doc_id long, v binary, n_grams long, bands array<long>"))
+    sketch = cut(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_sketch(n, bands, rows), "doc_id long, mark long, v binary, n_grams long, bands array<long>"))
     classes = cut(sketch.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
     spread = classes.select("v", F.posexplode("bands").alias("band", "h"))
     buckets = spread.groupBy("h").agg(F.min("v").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -271,6 +275,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     per_class = classes.select("v", "rep", "weight").join(links, "v", "left").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = per_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     per_class = per_class.join(least, "root").select("v", F.col("rep").alias("class_id"), "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketch.select("doc_id", "v").join(per_class, "v", "left")
+    more = [F.col("mark"), F.col("v").isNotNull().alias("has_words")] if with_mark else []
+    out = sketch.select("doc_id", "v", *(["mark"] if with_mark else [])).join(per_class, "v", "left")
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), own("class_id"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), own("class_id"), *more)
