@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -129,6 +131,40 @@ def test_secrets_under_any_layer():
         assert bool(secrets.find(text)[1]) == (text[0] != "H")
 
 
+def alone(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.string())], names=["doc_id", "text"])
+    return pa.Table.from_batches(secrets._run([batch])).to_pydict()
+
+
+def test_secrets_in_a_table_of_one_short_text():
+    for text in (None, *("".join(t) for n in range(5) for t in itertools.product("aé%\\", repeat=n))):
+        got = alone(text)
+        assert got["spans"] == [""] and got["n_hex"] == [0] and got["base_sha256"] == [digest([])]
+
+
+def test_secrets_in_data_that_inflates_far():
+    plain = b"password=hunter22x"
+    spread = b"token" + b" " * (3 << 20) + b":" + b" " * (3 << 20) + b"hunter22x" + b"," * (1 << 20)
+    for packed in (gzip.compress(b",\n" * (36 << 20) + plain), gzip.compress(gzip.compress(b"word " * (1 << 20) + plain + b" word")), gzip.compress(b"first member") + gzip.compress(spread), zlib.compress(spread)):
+        text = f"see {base64.b64encode(packed).decode()} end"
+        assert any(s[:3] == ("assign", 4, len(text) - 4) for s in secrets.find(text)[1])
+
+
+def test_secrets_under_many_levels_of_escapes():
+    chain = "%" + "25" * 50_000 + "41"
+    for text in (chain, "\\u005cu005c" * 5000 + "u0041"):
+        before = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - before < 5  # seconds; the square of the length would be minutes
+    text = "é password=hunter" + "%" + "25" * 30 + "32xyz, end"
+    assert ("assign", 2, text.index(",")) in [s[:3] for s in secrets.find(text)[1]]
+    text = "é pass" + "%" + "25" * 30 + "5Cu00" + "%" + "25" * 20 + "37" + "7ord: hunter22x, end"
+    assert ("assign", 2, text.index(",")) in [s[:3] for s in secrets.find(text)[1]]
+    for level in range(1, 7):
+        text = "".join("%" + "25" * (level - 1) + f"{c:02x}" for c in gzip.compress(b"secret: hunter22x"))
+        assert any(s[0] == "assign" for s in secrets.find(f"x {text} y")[1]), level
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(none).count() == secrets.find_secrets(none).count() == 0
