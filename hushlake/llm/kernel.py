@@ -31,8 +31,9 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE = 0x9E3779B97F4A7C15
-_WORD = 0xC2B2AE3D27D4EB4F
+# Multipliers of bytes in a word and of words in a window; the second pair gives hashes independent of the first.
+_BYTES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORDS = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_BYTE))
+_CODES = [mix(np.arange(1, 257, dtype=U64) * U64(b)) for b in _BYTES]
 
 
 def _run(base: int, n: int) -> np.ndarray:
@@ -54,7 +55,7 @@ def _run(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _cached(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _run(base, n), _run(pow(base, -1, 1 << 64), n)
 
@@ -133,7 +134,7 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self._hash = self._prefix = None
+        self._hash, self._prefix = [None, None], [None, None]
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -145,22 +146,40 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         """64 bits for each word, from its bytes."""
-        if self._hash is None:
-            data = self.texts.data
-            up, down = powers(_BYTE, len(data))
-            total = np.zeros(len(data) + 1, dtype=U64)
-            np.cumsum(_CODES[data] * up, out=total[1:])
-            self._hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
-        return self._hash
-
-    def span(self, start: np.ndarray, length) -> np.ndarray:
-        """64 bits for each run of `length` words from `start`, from the words' hashes in order."""
-        if self._prefix is None:
-            up, down = powers(_WORD, len(self) + 1)
+        return self._hashes(0)
+
+    def _hashes(self, k: int) -> np.ndarray:
+        """Sums over bytes are held for one block at a time."""
+        if self._hash[k] is None:
+            data, base = self.texts.data, _BYTES[k]
+            out, down = np.zeros(len(self), dtype=U64), np.zeros(len(self), dtype=U64)
+            carry = U64(0)
+            for lo in range(0, len(data), CHUNK_BYTES):
+                part = data[lo : lo + CHUNK_BYTES]
+                up, back = powers(base, len(part))
+                total = np.zeros(len(part) + 1, dtype=U64)
+                np.cumsum(_CODES[k][part] * up, out=total[1:])
+                total *= U64(pow(base, lo, 1 << 64))
+                total += carry
+                i, j = np.searchsorted(self.starts, [lo, lo + len(part)])
+                at = self.starts[i:j] - lo
+                out[i:j] -= total[at]
+                down[i:j] = back[at] * U64(pow(base, -lo, 1 << 64))
+                i, j = np.searchsorted(self.ends, [lo, lo + len(part)], side="right")
+                out[i:j] += total[self.ends[i:j] - lo]
+                carry = total[-1]
+            self._hash[k] = mix(out * down + (self.ends - self.starts).astype(U64))
+        return self._hash[k]
+
+    def span(self, start: np.ndarray, length, other: bool = False) -> np.ndarray:
+        """64 bits for each run of `length` words from `start`, from the words' hashes in order; `other` gives a second, independent 64."""
+        k = int(other)
+        if self._prefix[k] is None:
+            up, down = powers(_WORDS[k], len(self) + 1)
             total = np.zeros(len(self) + 1, dtype=U64)
-            np.cumsum(self.hash * up[: len(self)], out=total[1:])
-            self._prefix = total, down
-        total, down = self._prefix
+            np.cumsum(self._hashes(k) * up[: len(self)], out=total[1:])
+            self._prefix[k] = total, down
+        total, down = self._prefix[k]
         return mix((total[start + length] - total[start]) * down[start] + np.asarray(length).astype(U64))
 
     def window_starts(self, length: int) -> np.ndarray:
@@ -184,6 +203,8 @@ class Words:
         taken[inner] = True
         out = data.copy()
         out[inner] = 0x20
+        if len(self.texts) == 1:
+            return Texts(out[taken], np.array([0, np.count_nonzero(taken)]), self.texts.lo)
         lengths = np.zeros(n + 1, dtype=np.int64)
         np.cumsum(taken, out=lengths[1:])
         return Texts(out[taken], lengths[self.texts.offsets], self.texts.lo)

@@ -2,25 +2,27 @@
 
 Level-wise doubling.  A window of `window` words can repeat only if the
 windows of half its length inside it repeat, so short windows are counted
-first and only those that repeat are extended to twice their length (one word
-of overlap makes 7 + 6 reach 13).  At the short level it is enough to look at
-one short window in each long one, picked by content (the one with the
-smallest hash), because equal long windows pick the same one: about a quarter
-of all positions travel, each once, with the fingerprints of the long windows
-that picked it.  Where no short window repeats, no candidate survives and
-nothing is extended.
-
-Scale: one shuffle of fixed-size rows, sorted by short window and document,
-so that the reducer streams and holds one run of equal short windows at a time;
-a run over `run_limit` rows (a phrase that is common all over the corpus) is
-not held but dealt out again by its long windows, which Spark then aggregates.
-Neither groups nor pairs of documents are ever formed.
+first, and only those found in more than one document are extended to twice
+their length (one word of overlap makes 7 + 6 reach 13) and counted again, up to
+the window asked for or until no candidate survives.  At the shortest level it is
+enough to count one short window in each one of twice its length, picked by content
+(the one with the smallest hash), because equal long windows pick the same one:
+about a quarter of all positions.  Extended windows are compared by 128 bits.
+
+Scale: what travels at the shortest level is a hash and a place for each picked window,
+once to be counted (a minimum and a maximum, aggregated before the shuffle)
+and once to learn whether it survives; the texts of documents with survivors
+then meet their places and are extended.  At the last level all
+windows that picked one short window travel as one row and meet in one sorted run,
+unless the short window is found more than `run_limit` times: such windows (a phrase that is
+common all over the corpus) travel one by one, by the hash of the extended window,
+and are aggregated before the shuffle.  Joins on hashes are left to the optimizer's splitting
+of skewed partitions.  Neither groups nor pairs of documents are ever formed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACE, U64, Words, by_row, chunks, covered
-from .scratch import cut, empty, small_batches
+from .scratch import cut, drop, empty, small_batches
 
-RUN_LIMIT = 100_000
+RUN_LIMIT = 10_000
 _POS, _AHEAD = 32, 8  # bits of a position in its document, and of the distance to the short window
+_HOT = 1 << (_POS + _AHEAD)  # a bit above them: the short window is common
+_BLOCK = 1 << 18  # windows that are looked at together
 
 
 def _levels(window: int) -> list[int]:
@@ -42,47 +46,102 @@ def _levels(window: int) -> list[int]:
     return out
 
 
-def _mark(texts, row: int) -> int:
-    """24 bits of the text: tells rows apart that share an id."""
-    return zlib.crc32(texts.raw(row)) & 0xFFFFFF
+def _picked(words: Words, short: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the long windows, the distance from each to the short window in it with the smallest hash, and that hash."""
+    at = words.window_starts(long)
+    ahead, best = np.zeros(len(at), dtype=np.uint8), np.zeros(len(at), dtype=U64)
+    for lo in range(0, len(at), _BLOCK):
+        here = at[lo : lo + _BLOCK]
+        grams = words.span(np.arange(here[0], here[-1] + long - short + 1), short)
+        here = here - here[0]
+        least, far = grams[here], ahead[lo : lo + _BLOCK]
+        for j in range(1, long - short + 1):
+            other = grams[here + j]
+            less = other < least
+            least = np.where(less, other, least)
+            far[less] = j
+        best[lo : lo + _BLOCK] = least
+    return at, ahead.astype(np.int64), best
 
 
-def _anchors(window: int):
-    short = _levels(window)[0]
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("prints", pa.binary())])
+def _heads(picked: np.ndarray) -> np.ndarray:
+    """Where another short window is picked than one place before."""
+    return np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]])) if len(picked) else picked
+
+
+def _anchors(short: int, long: int, places: bool):
+    """The picked short windows of all texts: hash and document, and their places if asked for."""
+    schema = pa.schema([(c, pa.int64()) for c in ("h", "doc", *(("mark", "at") if places else ()))])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in chunks(batch.column(1)):
+            ids, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for texts in chunks(batch.column(2)):
                 words = Words(texts, SPACE)
-                at = words.window_starts(window)
-                if not len(at):
-                    continue
-                grams = words.span(np.arange(len(words) - short + 1), short)
-                best, ahead = grams[at], np.zeros(len(at), dtype=np.int64)
-                for j in range(1, window - short + 1):
-                    other = grams[at + j]
-                    less = other < best
-                    best = np.where(less, other, best)
-                    ahead[less] = j
+                at, ahead, best = _picked(words, short, long)
                 picked = at + ahead
-                head = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
-                prints = words.span(at, window)
+                head = _heads(picked)
                 row = words.row[at[head]]
-                marks = np.array([_mark(texts, r) for r in range(len(texts))], dtype=np.int64)
-                pos = at[head] - words.first[row]
-                packed = (marks[row] << (_POS + _AHEAD)) | (ahead[head] << _POS) | pos
-                ends = np.append(head, len(at)).astype(np.int32) * 8
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(best[head].view(np.int64)),
-                        pa.array(ids[texts.lo + row].astype(np.int64)),
-                        pa.array(packed),
-                        pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(prints)]),
-                    ],
-                    schema=schema,
-                )
+                out = [best[head].view(np.int64), ids[texts.lo + row]]
+                if places:
+                    out += [marks[texts.lo + row], picked[head] - words.first[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    return run
+
+
+_EXTENDED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("prints", pa.binary())])
+
+
+def _extended(short: int, long: int, first: bool, packed: bool):
+    """Windows of the long level whose short windows survive.
+
+    At the first level those whose picked short window does, at later levels those that begin
+    and end with a survivor.  If packed, windows of one short window that is not common are one row;
+    others are a row each, without h.
+    """
+
+    def batch_of(h, doc, mark, at, prints, ends):
+        return pa.RecordBatch.from_arrays([h, *(pa.array(x, pa.int64()) for x in (doc, mark, at)), pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32) * 16), pa.py_buffer(prints)])], schema=_EXTENDED)
+
+    def run(batches):
+        for batch in batches:
+            ids, marks = (batch.column(i).to_numpy() for i in (0, 1))
+            alive = batch.column(3)
+            for texts in chunks(batch.column(2)):
+                words = Words(texts, SPACE)
+                survivors = alive.slice(texts.lo, len(texts))
+                places = survivors.flatten().to_numpy()
+                where = (places & ((1 << _POS) - 1)) + np.repeat(words.first[:-1], survivors.value_lengths().to_numpy())
+                live = np.zeros(len(words) + 1, dtype=bool)
+                live[where] = True
+                if first:
+                    at, ahead, best = _picked(words, short, long)
+                    some = live[at + ahead]
+                    at, ahead, best = at[some], ahead[some], best[some]
+                else:
+                    at = words.window_starts(long)
+                    at = at[live[at] & live[at + long - short]]
+                if not len(at):
+                    continue
+                prints = np.stack([words.span(at, long), words.span(at, long, other=True)], axis=1)
+                row = words.row[at]
+                doc, mark, pos = ids[texts.lo + row], marks[texts.lo + row], at - words.first[row]
+                alone = np.ones(len(at), dtype=bool)
+                if packed:
+                    common = np.zeros(len(words) + 1, dtype=bool)
+                    common[where[places >= _HOT]] = True
+                    alone = common[at + ahead]
+                    few = np.flatnonzero(~alone)
+                    if len(few):
+                        picked = (at + ahead)[few]
+                        # a run is one stretch of windows that pick the same place
+                        head = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (few[1:] != few[:-1] + 1) | (at[few][1:] != at[few][:-1] + 1)]))
+                        k = few[head]
+                        yield batch_of(pa.array(best[k].view(np.int64)), doc[k], mark[k], (ahead[k] << _POS) | pos[k], prints[few].copy(), np.append(head, len(few)))
+                one = np.flatnonzero(alone)
+                if len(one):
+                    yield batch_of(pa.nulls(len(one), pa.int64()), doc[one], mark[one], pos[one], prints[one].copy(), np.arange(len(one) + 1))
 
     return run
 
@@ -91,91 +150,60 @@ def _later(h, doc, at, ends, prints):
     """For rows in order of (h, doc): a bit for each long window whose like starts in an earlier document."""
     new = np.concatenate([[True], h[1:] != h[:-1]])
     run = np.cumsum(new) - 1
-    last = np.append(np.flatnonzero(new)[1:], len(h)) - 1
-    live = (doc[new] != doc[last])[run]
-    if not live.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = np.flatnonzero(live)
-    sizes = (ends[1:] - ends[:-1])[rows]
-    row = np.repeat(np.arange(len(rows)), sizes)
+    sizes = ends[1:] - ends[:-1]
+    row = np.repeat(np.arange(len(h)), sizes)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prints = prints[np.repeat(ends[:-1][rows], sizes) + inner]
-    ahead = (((at[rows] >> _POS) & ((1 << _AHEAD) - 1))[row] - inner).astype(U64)
-    group = run[rows][row].astype(U64)
-    place = (group << U64(_AHEAD)) | ahead
-    order = np.lexsort((prints, place))
+    prints = prints[np.repeat(ends[:-1], sizes) + inner]
+    ahead = ((at >> _POS)[row] - inner).astype(U64)
+    place = (run[row].astype(U64) << U64(_AHEAD)) | ahead
+    order = np.lexsort((prints[:, 1], prints[:, 0], place))
     g, p = place[order], prints[order]
-    head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
-    who = doc[rows][row][order]
+    head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]).any(axis=1)])
+    who = doc[row][order]
+    # the sort is stable: the first of equal windows is of the smallest document
     hit = np.zeros(len(row), dtype=np.int64)
     hit[order] = who > who[np.flatnonzero(head)][np.cumsum(head) - 1]
     mask = np.add.reduceat(hit << inner, np.cumsum(sizes) - sizes)
     found = np.flatnonzero(mask)
-    return rows[found], mask[found]
+    return found, mask[found]
+
 
+_FOUND = "doc long, mark long, at long, mask long"
 
-def _repeats(limit: int):
-    """Stream over rows sorted by (h, doc); runs over the limit are handed on as they are."""
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("mask", pa.int64()), ("h", pa.int64()), ("prints", pa.binary())])
 
-    def hand_on(table):
-        n = table.num_rows
-        return pa.RecordBatch.from_arrays([table["doc"].combine_chunks(), table["at"].combine_chunks(), pa.nulls(n, pa.int64()), table["h"].combine_chunks(), table["prints"].combine_chunks()], schema=schema)
+def _repeats(batches):
+    """Stream over packed rows sorted by (h, doc); one run is held at a time, and a run has a bounded number of rows."""
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())])
 
     def solve(table):
-        h, doc, at = (table[c].to_numpy() for c in ("h", "doc", "at"))
+        h, doc, mark, at = (table[c].to_numpy() for c in ("h", "doc", "mark", "at"))
         column = table["prints"].combine_chunks()
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
-        rows, mask = _later(h, doc, at, ends.astype(np.int64), np.frombuffer(column.buffers()[2], np.uint64))
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(at[rows]), pa.array(mask), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 16
+        rows, mask = _later(h, doc, at, ends, np.frombuffer(column.buffers()[2], np.uint64).reshape(-1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows], mark[rows], at[rows] & ((1 << _POS) - 1), mask)], schema=schema)
 
-    def run(batches):
-        held, n, common = [], 0, None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            h = batch.column(0).to_numpy()
-            if common is not None:
-                k = int(np.searchsorted(h, common, side="right"))
-                if k:
-                    yield hand_on(table.slice(0, k))
-                if k == len(h):
-                    continue
-                table, h, common = table.slice(k), h[k:], None
-            held.append(table)
-            n += len(h)
-            if h[0] == h[-1] and n < limit or n < 50_000:
-                continue
-            table = pa.concat_tables(held).combine_chunks()
-            h = table["h"].to_numpy()
-            k = int(np.searchsorted(h, h[-1], side="left"))
-            if k:
-                yield solve(table.slice(0, k))
-            rest = table.slice(k)
-            if rest.num_rows >= limit:
-                common, held, n = int(h[-1]), [], 0
-                yield hand_on(rest)
-            else:
-                held, n = [rest], rest.num_rows
-        if n:
-            yield solve(pa.concat_tables(held).combine_chunks())
-
-    return run
-
-
-def _explode(batches):
-    """One row for each long window of the runs that were handed on."""
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("ahead", pa.int64()), ("w", pa.int64()), ("bit", pa.int64())])
+    held, n = [], 0
     for batch in batches:
-        cols = batch.to_pydict()
-        for doc, at, h, prints in zip(cols["doc"], cols["at"], cols["h"], cols["prints"], strict=True):
-            p = np.frombuffer(prints, np.int64)
-            i = np.arange(len(p))
-            ahead = ((at >> _POS) & ((1 << _AHEAD) - 1)) - i
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), at)), pa.array(np.full(len(p), h)), pa.array(ahead), pa.array(p), pa.array(1 << i)], schema=schema)
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < 50_000:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        h = table["h"].to_numpy()
+        k = int(np.searchsorted(h, h[-1], side="left"))
+        if k:
+            yield solve(table.slice(0, k))
+        held = table.slice(k).to_batches()
+        n -= k
+    if n:
+        yield solve(pa.Table.from_batches(held).combine_chunks())
 
 
 def _applied(window: int):
+    # flags are pairs: a place, and a bit for each of the windows that start at it and after it
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def run(batches, with_text):
@@ -206,6 +234,45 @@ def _applied(window: int):
     return run
 
 
+def _repeated(windows: DataFrame, by: str) -> DataFrame:
+    """Hashes found in more than one document, with the smallest and how often."""
+    return windows.groupBy(by).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+
+
+def _found(rows: DataFrame, window: int, run_limit: int) -> DataFrame:
+    """Places of windows of which an earlier document has the like."""
+    levels = _levels(window)
+    schema = "h long, doc long, mark long, at long, prints binary"
+    first = rows.mapInArrow(_anchors(levels[0], levels[1], False), "h long, doc long")
+    again = cut(_repeated(first, "h").select("h", (F.col("n") > run_limit).alias("hot")), free=True)
+    places = rows.mapInArrow(_anchors(levels[0], levels[1], True), "h long, doc long, mark long, at long")
+    alive = places.join(again, "h").select("doc", "mark", F.when(F.col("hot"), F.col("at").bitwiseOR(F.lit(_HOT))).otherwise(F.col("at")).alias("at"))
+    for k in range(1, len(levels)):
+        last = k == len(levels) - 1
+        packed = last and k == 1
+        per_doc = alive.groupBy("doc", "mark").agg(F.collect_list("at").alias("alive"))
+        texts = rows.join(per_doc.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "mark"]).select("doc_id", "mark", "text", "alive")
+        windows = texts.mapInArrow(_extended(levels[k - 1], levels[k], k == 1, packed), schema)
+        common = not packed or not empty(again.where("hot"))
+        if common:
+            windows = cut(windows, free=True)
+        one = windows.where("h is null").select("doc", "mark", "at", "prints")
+        least = _repeated(one, "prints").select("prints", "lo")
+        if not last:
+            alive = cut(one.join(least, "prints").select("doc", "mark", "at"), free=True)
+            if empty(alive):
+                return alive.withColumn("mask", F.lit(1).cast("long"))
+    found = one.join(least, "prints").where("doc > lo").select("doc", "mark", "at", F.lit(1).cast("long").alias("mask")) if common else None
+    if packed:
+        runs = windows.where("h is not null").repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_repeats, _FOUND)
+        found = runs if found is None else runs.unionByName(found)
+    found = cut(found, free=True)
+    drop(again)
+    if common:
+        drop(windows)
+    return found
+
+
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Remove each word that lies in a window of `window` words whose word sequence also starts in a document with a smaller id.
 
@@ -218,24 +285,16 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay.  Rows that share an id are never earlier than each other, and each is
     judged on its own text.  Texts of any length are read whole.  Other columns
     of the input are ignored, whatever their names; an empty table gives an
-    empty table.
+    empty table.  run_limit decides how work is cut, never what is found.
     """
     if not 8 <= window <= 60:
         raise ValueError("window must be 8 to 60 words")
     small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    anchors = rows.where("doc_id is not null and text is not null").mapInArrow(_anchors(window), "h long, doc long, at long, prints binary")
-    sorted_ = anchors.repartition("h").sortWithinPartitions("h", "doc")
-    found = cut(sorted_.mapInArrow(_repeats(run_limit), "doc long, at long, mask long, h long, prints binary"), free=True)
-    flags = found.where("mask is not null").select("doc", "at", "mask")
-    common = found.where("mask is null").select("doc", "at", "h", "prints")
-    if not empty(common):
-        wide = cut(common.mapInArrow(_explode, "doc long, at long, h long, ahead long, w long, bit long"))
-        least = wide.groupBy("h", "ahead", "w").agg(F.min("doc").alias("least"))
-        more = wide.join(least, ["h", "ahead", "w"]).where("doc > least").groupBy("doc", "at").agg(F.bit_or("bit").alias("mask"))
-        flags = flags.unionByName(more)
-    per_doc = flags.groupBy(F.col("doc").alias("doc_id"), F.shiftrightunsigned("at", _POS + _AHEAD).alias("mark")).agg(F.collect_list(F.array("at", "mask")).alias("flags"))
-    marked = rows.withColumn("mark", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(0xFFFFFF))
-    joined = marked.join(per_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "flags")
+    # the mark tells rows apart that share an id
+    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    found = _found(rows.where("doc_id is not null and text is not null"), window, run_limit)
+    flags = found.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.collect_list(F.array("at", "mask")).alias("flags"))
+    joined = rows.join(flags, ["doc_id", "mark"], "left").select("doc_id", "text", "flags")
     apply = _applied(window)
     return joined.mapInArrow(lambda batches: apply(batches, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
