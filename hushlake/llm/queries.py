@@ -174,7 +174,7 @@ FROM d LEFT JOIN w USING (doc_id) LEFT JOIN it USING (doc_id)
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
-    return find_pii(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_ssn")
+    return find_pii(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_ssn", "n_dni", "n_nir", "n_tax")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,24 @@ def test_pii_checksums_and_context():
     assert pii.redact(text, pii.find(text)) == "mail [EMAIL] or [EMAIL]"
 
 
+def test_pii_decisions_fall_by_context():
+    iban, other = "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    kinds = lambda t: [s[0] for s in pii.find(t)]
+    spans = lambda t: [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    assert spans(f"{iban} {iban}") == [iban, iban]
+    assert spans(f"{iban} {other} {iban}, {other}") == [iban, other, iban, other]
+    assert spans(f"{iban} ABC {iban}") == [iban, iban]
+    assert spans(f"sample order ticket {iban}") == [] and spans(f"sample account {iban}") == [iban]
+    # whole words alone count: neither border nor a reordered word speaks against, nor does classname speak for
+    assert kinds("border ssn 123-45-6789 reordered") == ["ssn"] and kinds("classname 123-45-6789") == []
+    assert kinds("dni 12345678Z") == ["dni"] and kinds("dni 12345678A") == [] and kinds("12345678Z") == [] and kinds("NIE X1234567L") == ["dni"]
+    assert "nir" in kinds("carte vitale 2 55 08 14 168 025 38") and "nir" not in kinds("carte vitale 2 55 08 14 168 025 39")
+    assert "tax" in kinds("Steuer-ID 86 095 742 719") and "tax" not in kinds("Steuer-ID 86 095 742 718") and "tax" not in kinds("86 095 742 719")
+    score = lambda t: pii.find(t)[0][3]
+    assert score("my visa card 4111 1111 1111 1111") > score("4111 1111 1111 1111") > score("sample 4111 1111 1111 1111")
+    assert score("x" * 47 + "order 4111 1111 1111 1111") == score("4111 1111 1111 1111")
+
+
 def test_secrets_equal_plain_patterns(spark, texts):
     more = [(20_000, "TOKEN : 'abcdef' ſecret=abcdef secret = abc"), (20_001, "f" * 24 + " " + "f" * 23 + " AKIA" + "A" * 16 + " AKIAX")]
     rows = texts + more
