@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, small_batches
+from .scratch import cut, small_batches, unused
 
 MIN_SITES = 10
 #: log2 of the registers of a sketch; its relative error is about 1.04 / sqrt(2**LG_K), and four times that is the band.
@@ -85,9 +85,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = _lines(docs, id_col, text_col, site_col).select("doc_id", "mark", "pos", "key")
     hits = lines.join(boiler, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     # rows that repeat whole give each position once
-    per_doc = hits.groupBy(F.col("doc_id").alias("__hit_id"), F.col("mark").alias("__hit_mark")).agg(F.collect_set("pos").alias("__hit_pos"))
+    own_id, own_mark, pos, out = (unused(docs, f"hit_{x}") for x in ("id", "mark", "pos", "out"))
+    per_doc = hits.groupBy(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set("pos").alias(pos))
     text = F.col(text_col).cast("string")
-    rows = docs.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text) == F.col("__hit_mark")), "left")
-    done = rows.withColumn("__hit_out", _without(text, F.col("__hit_pos")))
-    keep = [F.col("__hit_out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return done.select(*keep, F.col("__hit_out.n_lines").alias("n_lines"), F.col("__hit_out.n_removed").alias("n_removed"))
+    rows = docs.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_mark)), "left")
+    done = rows.withColumn(out, _without(text, F.col(pos)))
+    keep = [F.col(f"{out}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return done.select(*keep, F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_removed").alias("n_removed"))

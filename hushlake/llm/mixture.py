@@ -22,10 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, unused
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
+MOST_ROUNDS, TOLERANCE = 120, 1e-6
 ONE_TASK = 20_000
 NONE = "(none)"
 
@@ -50,12 +51,36 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, one_task: int = ONE_TASK) -> DataFrame:
+def _scaled(out: DataFrame, rounds: int, few: bool) -> DataFrame:
+    """Each margin scaled to its goal in turn, so many times."""
+    for _ in range(rounds):
+        for m in MARGINS:
+            if few:
+                own = F.sum("weight").over(Window.partitionBy(m))
+            else:
+                # summed before the shuffle and joined back: all cells of one language never meet in one task
+                sums = cut(out.groupBy(m).agg(F.sum("weight").alias("own")))
+                out, own = out.join(sums, m), F.col("own")
+            out = out.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"goal_{m}") / own).otherwise(F.lit(0.0)))
+            if not few:
+                out = cut(out.drop("own"))
+    return out
+
+
+def worst(cells: DataFrame) -> float:
+    """The largest distance of a margin from its goal, as a share of all tokens."""
+    total = cells.agg(F.sum("weight").alias("t")).first()["t"] or 1.0
+    apart = [cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("d")).agg(F.max("d").alias("d")) for m in MARGINS]
+    return float(max(r["d"] or 0.0 for r in reduce(DataFrame.unionAll, apart).collect()) / total)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, one_task: int = ONE_TASK, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
     """The cells with `weight`: tokens scaled so that the shares of each margin are its targets'.
 
     targets: for each margin (value, share); shares of values that have tokens are scaled to
-    sum to one, a value that is not listed gets nothing.  Weights sum to the tokens.  Where the targets contradict the empty
-    cells, what the last round leaves is returned: topics exact, the others nearly.
+    sum to one, a value that is not listed gets nothing.  Weights sum to the tokens.  After each `rounds` rounds the margins are
+    compared with their goals; it ends when none is off by more than `tolerance` of all tokens, when that no longer gets better, or
+    after `most` rounds.  Where the targets contradict the empty cells, what the last round leaves is returned: topics exact, the others nearly.
     """
     few = cells.count() <= one_task
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -67,12 +92,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         live = cells.where("tokens > 0").select(m).distinct().join(share, m).agg(F.sum(f"share_{m}").alias("live")).first()["live"]
         out = out.withColumn(f"goal_{m}", F.lit(total) * F.col(f"share_{m}") / F.lit(live or 1.0))
     out = cut(out.select(*cells.columns, "weight", *(f"goal_{m}" for m in MARGINS)))
-    if few:
-        out = out.coalesce(1)
-    for _ in range(rounds):
-        for m in MARGINS:
-            own = F.sum("weight").over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"goal_{m}") / own).otherwise(F.lit(0.0)))
+    apart = float("inf")
+    for _ in range(max(1, most // max(1, rounds))):
+        out = cut(_scaled(out.coalesce(1) if few else out, rounds, few))
+        before, apart = apart, worst(out)
+        if apart <= tolerance or apart > 0.9 * before:
+            break
     return out.select(*cells.columns, "weight")
 
 
@@ -82,7 +107,7 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Column | None = None, further: list[str] | None = None) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Column | None = None, further: list[Column] | None = None) -> DataFrame:
     """doc_id, source, lang, topic and n_tokens of each document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
@@ -116,9 +141,10 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame | float], rate: float =
     whole = F.floor("expected")
     copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("expected") - whole, 1).otherwise(0)
     if carry:
-        rows = prepared(docs.withColumn("__carry", F.struct(*(F.col(f"`{c}`") for c in carry))), further=["__carry"], **columns)
+        carried = unused(docs, "carried")
+        rows = prepared(docs.withColumn(carried, F.struct(*(F.col(f"`{c}`") for c in carry))), further=[F.col(carried).alias("carried")], **columns)
     out = rows.join(fitted, list(MARGINS))
-    return out.select("doc_id", *MARGINS, "n_tokens", "expected", copies.cast("long").alias("copies"), *(F.col(f"__carry.`{c}`") for c in carry or ()))
+    return out.select("doc_id", *MARGINS, "n_tokens", "expected", copies.cast("long").alias("copies"), *(F.col(f"carried.`{c}`") for c in carry or ()))
 
 
 def shares(pairs: dict[str, float], spark) -> DataFrame:

@@ -6,17 +6,20 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where nothing is set (single-machine tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where nothing is set and all runs on one machine."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hushlake-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -57,9 +60,23 @@ def cut(df: DataFrame, *, free: bool = False) -> DataFrame:
     finally:
         if free:
             spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that make() describes, written; every table that was written on the way goes."""
+    before = len(_made)
+    out = cut(make())
+    for path in _made[before:-1]:
+        _remove(out.sparkSession, path)
+    del _made[before:-1]
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files behind a table made by cut(), once nothing reads it any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/hushlake-" in name}:
@@ -75,5 +92,13 @@ def small_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of the table has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()

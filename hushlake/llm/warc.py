@@ -10,7 +10,7 @@ Scale: payloads are compared by digest, so only digests are grouped; pages then
 meet the few digests that repeat.  Each task writes archives of a bounded
 size under names of its own and lists them only when they are complete, so a
 lost executor or a second attempt leaves files that no manifest names.  The
-dictionary is trained on at most `sample` records and `sample_bytes` bytes, the
+dictionary is trained on at most `sample` records, SAMPLE_PAGE bytes of each and `sample_bytes` bytes in all, the
 first by hash of the page (a documented, fixed bound); it only affects
 sizes.
 """
@@ -38,6 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 LEAST_REVISIT = 1000
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 112 << 10
+#: Bytes of a page's payload that the dictionary may learn from.
+SAMPLE_PAGE = 16 << 10
 FILE_BYTES = 512 << 20
 READ_BYTES = 1 << 20
 LEVEL = 6
@@ -182,7 +184,10 @@ def with_revisits(pages: DataFrame, *, least: int = LEAST_REVISIT, **columns) ->
     """page_id, url, payload, and refers_to and refers_url for pages whose payload a page with a larger id holds."""
     rows = _payloads(pages, **columns)
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    seen = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 and last.page_id is not null").select("same", "last")
+    # written, so that the join reads two plain tables and the optimizer splits what a very common payload makes skewed
+    seen = cut(rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 and last.page_id is not null").select("same", "last"))
+    # short payloads have no digest here and would meet in one task
+    rows = rows.withColumn("same", F.coalesce("same", F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.uuid()))))
     later = F.coalesce(F.col("page_id") < F.col("last.page_id"), F.col("last.page_id").isNotNull())
     return rows.join(seen, "same", "left").select("page_id", "url", "payload", F.when(later, F.col("last.page_id")).alias("refers_to"), F.when(later, F.col("last.url")).alias("refers_url"))
 
@@ -205,6 +210,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, sample: int =
     plain = _payloads(pages, **columns)
     by_hash = [F.xxhash64("page_id"), F.col("page_id")]
     first = plain.select("page_id").distinct().orderBy(*by_hash).limit(sample)
+    plain = plain.withColumn("payload", F.substring("payload", 1, SAMPLE_PAGE))
     for r in plain.join(F.broadcast(first), "page_id", "left_semi").orderBy(*by_hash, "url").limit(sample).toLocalIterator():
         if total < sample_bytes:
             picked.append(record(r["page_id"], r["url"], bytes(r["payload"])))

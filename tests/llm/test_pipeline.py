@@ -57,6 +57,19 @@ def test_stages_take_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    for c in ("score", "Mark", "carried", "__score", "__hit_id", "hit_pos", "HIT_OUT", "__mark", "__carry", "a.b", "kept", "rest", "hits", "items"):
+        docs = docs.withColumn(c, docs["doc_id"] + 1)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.where("score <> doc_id + 1 or `a.b` <> doc_id + 1 or hits <> doc_id + 1").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_repeated_ids_go_by_their_own_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (7, c + " more"), (7, None), (7, "..."), (8, c), (None, a), (9, ""), (9, "")]
