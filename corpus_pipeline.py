@@ -12,40 +12,44 @@ no n-grams and no benchmark passage, and is drawn by the rate of its cell.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm import decontaminate as decontamination
 from hushlake.llm import line_dedup, ngram_join, quality
 from hushlake.llm.queries import mixed
-from hushlake.llm.scratch import cut, empty
+from hushlake.llm.scratch import cut, drop, empty, settled, unused
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from labels that are not held out, on these documents."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "score")
+    return quality.scored(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, with the smallest id; each row goes or stays for its own text."""
     rows = cut(ngram_join.ngram_join(docs, with_mark=True).where("has_words").select("doc_id", "mark", "kept"))
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    on = lambda t: (marked["doc_id"] == t["doc_id"]) & (marked["__mark"] == t["mark"])
+    mark, columns = unused(docs, "mark"), [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    on = lambda t: (marked["doc_id"] == t["doc_id"]) & (marked[mark] == t["mark"])
     gone = rows.where("not kept").select("doc_id", "mark").distinct()
     # rows of one group that share the smallest id
     alike = rows.where("kept").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("mark").alias("mark")).where("n > 1")
     if empty(alike):
-        return marked.join(gone, on(gone), "left_anti").select(*docs.columns)
+        return marked.join(gone, on(gone), "left_anti").select(*columns)
     alike = cut(alike)
-    drop = gone.unionByName(rows.where("kept").join(alike.select("doc_id"), "doc_id").select("doc_id", "mark").distinct())
-    one = marked.join(alike, on(alike), "left_semi").groupBy("doc_id", "__mark").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return marked.join(drop, on(drop), "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    away = gone.unionByName(rows.where("kept").join(alike.select("doc_id"), "doc_id").select("doc_id", "mark").distinct())
+    one = marked.join(alike, on(alike), "left_semi").groupBy("doc_id", mark).agg(F.first(F.struct(*columns)).alias("row"))
+    return marked.join(away, on(away), "left_anti").select(*columns).unionByName(one.select("row.*"))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        # later stages read their input more than once
-        docs = cut(docs) if i < len(STAGES) - 1 else docs
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        # later stages read their input more than once; what a stage wrote for itself and what it read go
+        before, docs = docs, settled(functools.partial(stage, spark, docs, sf_dir))
+        if i:
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
