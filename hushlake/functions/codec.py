@@ -15,18 +15,18 @@ from ..errors import ensure
 TYPES = ("text", "integer", "bigint", "decimal", "boolean", "instant", "json", "bytes")
 SEARCHABLE = ("text", "integer", "bigint", "decimal")
 _SAFE = 2**53 - 1
-_DECIMAL = re.compile(r"([+-]?)0*([0-9]+?)(?:\.([0-9]+))?\Z")
+_NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?\Z", re.A)
+_EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
 
 
 def canonical_decimal(value: str, precision: int, scale: int) -> str:
     """No plus sign, no leading zeros, exactly `scale` digits after the point, no negative zero."""
-    m = _DECIMAL.match(value) if isinstance(value, str) else None
-    ensure(m)
-    whole, part = m[2], m[3] or ""
-    ensure(len(part) <= scale and (len(whole) <= precision - scale or precision == scale and whole == "0"))
-    part = part.ljust(scale, "0")
-    text = f"{whole}.{part}" if scale else whole
-    return f"-{text}" if m[1] == "-" and text.strip("0.") else text
+    ensure(isinstance(value, str) and _NUMBER.match(value))
+    with decimal.localcontext(prec=max(len(value), precision + scale) + 1):
+        number = decimal.Decimal(value)
+        exact = number.quantize(decimal.Decimal(1).scaleb(-scale))
+        ensure(len(value.partition(".")[2]) <= scale and abs(exact).scaleb(scale) < 10**precision)
+        return format(exact if exact else abs(exact), "f")
 
 
 def encode(kind: str, value, precision: int = 0, scale: int = 0) -> bytes:
@@ -54,7 +54,8 @@ def encode(kind: str, value, precision: int = 0, scale: int = 0) -> bytes:
     if kind == "instant":
         ensure(isinstance(value, datetime.datetime))
         stamp = value if value.tzinfo else value.replace(tzinfo=datetime.UTC)
-        return str((stamp - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)) // datetime.timedelta(milliseconds=1)).encode()
+        millis, rest = divmod(stamp - _EPOCH, datetime.timedelta(milliseconds=1))
+        return (f"{millis}.{rest.microseconds:03d}" if rest else str(millis)).encode()
     if kind == "json":
         try:
             return json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":")).encode()
@@ -64,13 +65,18 @@ def encode(kind: str, value, precision: int = 0, scale: int = 0) -> bytes:
     return bytes(value)
 
 
+def _instant(text: str) -> datetime.datetime:
+    millis, _, rest = text.partition(".")
+    return _EPOCH + datetime.timedelta(milliseconds=int(millis), microseconds=int(rest or 0))
+
+
 def decode(kind: str, raw: bytes, precision: int = 0, scale: int = 0):
     """The value of canonical bytes; anything else is INVALID_CIPHERTEXT."""
     try:
         text = "" if kind in ("bytes", "boolean") else raw.decode()
         value = {
             "text": lambda: text, "integer": lambda: int(text), "bigint": lambda: int(text), "decimal": lambda: text, "boolean": lambda: {b"\0": False, b"\1": True}[raw],
-            "instant": lambda: datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(milliseconds=int(text)), "json": lambda: json.loads(text), "bytes": lambda: raw,
+            "instant": lambda: _instant(text), "json": lambda: json.loads(text), "bytes": lambda: raw,
         }[kind]()
     except (ValueError, KeyError, OverflowError):
         value = None
@@ -84,21 +90,28 @@ def _invalid(to: str) -> Column:
 
 def encode_col(kind: str, value: Column, precision: int = 0, scale: int = 0) -> Column:
     """Canonical bytes of a column; a value outside the type stops the job with INVALID_VALUE."""
-    if kind in ("text", "json"):
+    if kind == "text":
         return value.cast("string").cast("binary")
-    if kind == "integer":
-        number = value.cast("long")
-        return F.when(number.isNull() & value.isNotNull() | (F.abs(number) > _SAFE), _invalid("binary")).otherwise(number.cast("string").cast("binary"))
-    if kind == "bigint":
-        return value.cast("decimal(38,0)").cast("string").cast("binary")
+    if kind == "json":
+        # kept as it was written, if it is JSON
+        return F.when(value.isNotNull() & F.try_parse_json(value.cast("string")).isNull(), _invalid("binary")).otherwise(value.cast("string").cast("binary"))
+    if kind in ("integer", "bigint"):
+        number = value.try_cast("decimal(38,0)")
+        # a fraction of a double shows in its value, that of a long decimal in its digits
+        broken = number.isNull() | (number.cast("double") != value.try_cast("double")) | value.cast("string").rlike(r"^[+-]?[0-9]*\.[0-9]*[1-9][0-9]*$")
+        wide = F.abs(number) > _SAFE if kind == "integer" else F.lit(False)
+        return F.when(value.isNotNull() & (broken | wide), _invalid("binary")).otherwise(number.cast("string").cast("binary"))
     if kind == "decimal":
-        exact = value.cast(f"decimal({precision},{scale})")
-        wide = value.cast("decimal(38,18)")
-        return F.when(exact.isNull() & value.isNotNull() | (exact.cast("decimal(38,18)") != wide), _invalid("binary")).otherwise(exact.cast("string").cast("binary"))
+        exact = value.try_cast(f"decimal({precision},{scale})")
+        # more digits than the scale: the value and its rounding differ as doubles, or in their digits
+        more = value.cast("string").rlike(rf"^[+-]?[0-9]*\.[0-9]{{{scale}}}[0-9]*[1-9][0-9]*$")
+        return F.when(value.isNotNull() & (exact.isNull() | more | (exact.cast("double") != value.try_cast("double"))), _invalid("binary")).otherwise(exact.cast("string").cast("binary"))
     if kind == "boolean":
         return F.when(value, F.unhex(F.lit("01"))).when(~value, F.unhex(F.lit("00")))
     if kind == "instant":
-        return F.unix_millis(value.cast("timestamp")).cast("string").cast("binary")
+        stamp = value.cast("timestamp")
+        millis, rest = F.unix_millis(stamp), F.pmod(F.unix_micros(stamp), F.lit(1000))
+        return F.concat(millis.cast("string"), F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 3, "0"))).otherwise(F.lit(""))).cast("binary")
     return value.cast("binary")
 
 
@@ -107,7 +120,7 @@ def decode_col(kind: str, raw: Column, precision: int = 0, scale: int = 0) -> Co
     return {
         "text": lambda: text, "json": lambda: text, "integer": lambda: text.cast("long"), "bigint": lambda: text.cast("decimal(38,0)"),
         "decimal": lambda: text.cast(f"decimal({precision},{scale})"), "boolean": lambda: raw == F.unhex(F.lit("01")),
-        "instant": lambda: F.timestamp_millis(text.cast("long")), "bytes": lambda: raw,
+        "instant": lambda: F.timestamp_micros(F.split_part(text, F.lit("."), F.lit(1)).cast("long") * 1000 + F.coalesce(F.nullif(F.split_part(text, F.lit("."), F.lit(2)), F.lit("")).cast("long"), F.lit(0))), "bytes": lambda: raw,
     }[kind]()
 
 

@@ -50,29 +50,32 @@ def shard_col(row_id: Column) -> Column:
 
 
 class FieldCipher:
-    """Seals and opens one field of one model: AES-256-GCM, bound to model, field, codec, scope and row."""
+    """Seals and opens one field of one model: AES-256-GCM, bound to model, field, codec, scope and row.
+
+    A key given as a column comes from a table (keyed() of the engine) and never shows in a plan; without
+    one, the keys are literals of the expression, as tests use them.
+    """
 
     def __init__(self, ring: Keyring, model: str, field: str, codec: str, parameters: str):
         self._known = [VERSION, model, field, codec, parameters, ring.scope(model)]
-        # one text for all keys of the field: a single call to the JVM
-        keys = (ring.derive(model, "field", [field, codec, parameters, bytes([i])], 32).hex() for i in range(SHARDS))
-        self._keys = "array(" + ", ".join(f"X'{k}'" for k in keys) + ")"
+        self.keys = [ring.derive(model, "field", [field, codec, parameters, bytes([i])], 32) for i in range(SHARDS)]
 
     def _key(self, row_id: Column) -> Column:
-        return F.element_at(F.expr(self._keys), shard_col(row_id) + 1)
+        # one text for all keys of the field: a single call to the JVM
+        return F.element_at(F.expr("array(" + ", ".join(f"X'{k.hex()}'" for k in self.keys) + ")"), shard_col(row_id) + 1)
 
     def _aad(self, scope: Column, row_id: Column) -> Column:
         return framed_col(["hushlake/aad/1", *self._known], [scope.cast("binary"), row_id.cast("binary")])
 
-    def seal(self, plain: Column, scope: Column, row_id: Column) -> Column:
-        box = F.aes_encrypt(plain, self._key(row_id), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), self._aad(scope, row_id))
+    def seal(self, plain: Column, scope: Column, row_id: Column, key: Column | None = None) -> Column:
+        box = F.aes_encrypt(plain, self._key(row_id) if key is None else key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), self._aad(scope, row_id))
         return F.concat(binary(VERSION), box)
 
-    def open(self, sealed: Column, scope: Column, row_id: Column, strict: bool = True) -> Column:
+    def open(self, sealed: Column, scope: Column, row_id: Column, strict: bool = True, key: Column | None = None) -> Column:
         """The canonical bytes; a damaged or foreign envelope raises, or is null where not strict."""
         inner = F.substring(sealed, 2, 1 << 30)
         aes = F.aes_decrypt if strict else F.try_aes_decrypt
-        opened = aes(inner, self._key(row_id), F.lit("GCM"), F.lit("DEFAULT"), self._aad(scope, row_id))
+        opened = aes(inner, self._key(row_id) if key is None else key, F.lit("GCM"), F.lit("DEFAULT"), self._aad(scope, row_id))
         bad = F.raise_error(F.lit("HUSHLAKE INVALID_CIPHERTEXT")).cast("binary") if strict else F.lit(None).cast("binary")
         return F.when(sealed.isNull(), F.lit(None).cast("binary")).when(envelope_shape(sealed), opened).otherwise(bad)
 

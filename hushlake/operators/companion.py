@@ -7,12 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..functions.crypto import hmac_col, salt_col, stamp_col
+from ..functions.crypto import hmac_col
 from ..functions.framing import framed_col
 from ..functions.keys import Keyring
-from ..functions.normalize import normalize, normalize_col
 from ..plans.model import EXACT, UNSCOPED, Profile, Registration
-from ..plans.tokens import ProfileKeys, TextIndex
+from ..plans.tokens import ProfileKeys, TextIndex, ValueIndex, exact_bytes
 
 _SUBSTRING = pa.struct([("tokens", pa.list_(pa.int64())), ("salt", pa.binary()), ("len", pa.int32()), ("stamps", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32()))])
 
@@ -29,12 +28,19 @@ def _substring_udf(keys: ProfileKeys, profile: Profile):
     return index.asNondeterministic()
 
 
-def _normalize_udf(kind: str):
-    @F.arrow_udf("string")
-    def normalized(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else normalize(t, kind) for t in text.to_pylist()], pa.string())
+_EXACT = pa.struct([("token", pa.int64()), ("salt", pa.binary()), ("stamp", pa.int64())])
 
-    return normalized
+
+def _exact_udf(keys: ProfileKeys, profile: Profile):
+    """The same for values as a whole. The keys stay in the function: as literals of a column they would stand in plans and event logs."""
+
+    @F.arrow_udf("struct<token:long,salt:binary,stamp:long>")
+    def index(value: pa.Array, scope: pa.Array) -> pa.Array:
+        own = ValueIndex(keys)
+        rows = [None if v is None else dict(zip(("token", "salt", "stamp"), own.exact(exact_bytes(profile, v), s), strict=True)) for v, s in zip(value.to_pylist(), scope.to_pylist(), strict=True)]
+        return pa.array(rows, _EXACT)
+
+    return index.asNondeterministic()
 
 
 def token_col(keys: ProfileKeys, scope: Column, piece: Column) -> Column:
@@ -49,13 +55,12 @@ def proof_key_col(keys: ProfileKeys, scope: Column, piece: Column) -> Column:
     return hmac_col(keys.proof, framed_col([], [scope.cast("binary"), piece]), 256)
 
 
-def build_companion(rows: DataFrame, registration: Registration, ring: Keyring, *, nfc_input: bool = False) -> DataFrame:
+def build_companion(rows: DataFrame, registration: Registration, ring: Keyring) -> DataFrame:
     """scope_id, row_id and the index columns of each row of plain values.
 
     Null values have null index columns; rows in which all searchable fields are
-    null have no companion row.  Text is composed (NFC) in Arrow batches first,
-    unless the caller knows that it is composed already.  The result draws
-    random salts: write it before it is read.
+    null have no companion row.  Index columns are made in Arrow batches, with
+    keys that never enter the plan.  The result draws random salts: write it before it is read.
     """
     scope = F.col(registration.scope).cast("string") if registration.scope else F.lit(UNSCOPED)
     values = {name: F.col(name) for name, _ in registration.profiles}
@@ -65,17 +70,11 @@ def build_companion(rows: DataFrame, registration: Registration, ring: Keyring,
         spec, keys, t = registration.fields[name], ProfileKeys.of(ring, p), p.tag
         value = F.col(f"__{name}")
         if p.mode == EXACT:
-            if spec.kind == "text":
-                raw = normalize_col(value, p.normalizer) if nfc_input else _normalize_udf(p.normalizer)(value)
-                raw = raw.cast("binary")
-            else:
-                raw = codec.encode_col(spec.kind, value, spec.precision, spec.scale)
-            out = out.withColumn(f"__raw_{t}", raw).withColumn(f"__salt_{t}", salt_col())
-            there = F.col(f"__raw_{t}").isNotNull()
-            if not p.hardened:
-                columns.append(F.when(there, token_col(keys, F.col("scope_id"), F.col(f"__raw_{t}"))).alias(f"tokens_{t}"))
-            columns.append(F.when(there, F.col(f"__salt_{t}")).alias(f"eq_salt_{t}"))
-            columns.append(F.when(there, stamp_col(proof_key_col(keys, F.col("scope_id"), F.col(f"__raw_{t}")), F.col(f"__salt_{t}"))).alias(f"eq_stamp_{t}"))
+            raw = value.cast("string") if spec.kind == "text" else codec.encode_col(spec.kind, value, spec.precision, spec.scale)
+            out = out.withColumn(f"__eq_{t}", _exact_udf(keys, p)(raw, F.col("scope_id")))
+            own = F.col(f"__eq_{t}")
+            columns += [] if p.hardened else [own["token"].alias(f"tokens_{t}")]
+            columns += [own["salt"].alias(f"eq_salt_{t}"), own["stamp"].alias(f"eq_stamp_{t}")]
         else:
             out = out.withColumn(f"__sub_{t}", _substring_udf(keys, p)(value.cast("string"), F.col("scope_id")))
             own = F.col(f"__sub_{t}")

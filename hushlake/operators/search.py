@@ -7,12 +7,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SealError, ensure, from_spark
 from ..functions import codec
-from ..functions.crypto import FieldCipher
+from ..functions.crypto import SHARDS, FieldCipher, shard_col
 from ..functions.framing import canonical
 from ..functions.keys import Keyring
 from ..plans.cursor import open_cursor, query_digest, seal_cursor
@@ -86,6 +87,7 @@ class Sealed:
     def __init__(self, ring: Keyring):
         self.ring = ring
         self._ciphers: dict[tuple, FieldCipher] = {}
+        self._tables: dict[tuple, DataFrame] = {}
 
     # Sealing -----------------------------------------------------------------
 
@@ -96,6 +98,18 @@ class Sealed:
             self._ciphers[key] = FieldCipher(self.ring, *key)
         return self._ciphers[key]
 
+    def _keyed(self, rows: DataFrame, registration: Registration, names: list[str], row: str) -> DataFrame:
+        """The rows with a key for each of the fields: from a table of SHARDS rows that is broadcast, so that no plan, event log or UI shows a key."""
+        if not names:
+            return rows
+        spark = rows.sparkSession
+        key = (id(spark), registration.model, *((n, registration.field_id(n), registration.fields[n].kind, registration.fields[n].parameters) for n in names))
+        if key not in self._tables:
+            keys = {f"__hl_key_{n}": pa.array(self._cipher(registration, n).keys, pa.binary()) for n in names}
+            self._tables[key] = spark.createDataFrame(pa.table({"__hl_shard": pa.array(range(SHARDS), pa.int32()), **keys}))
+        table = self._tables[key]
+        return rows.join(F.broadcast(table), shard_col(F.col(f"`{row}`")) == F.col("__hl_shard"), "left")
+
     def _checked_keys(self, rows: DataFrame, registration: Registration) -> DataFrame:
         for name, kind in ((registration.row, registration.row_type), (registration.scope, registration.scope_type)):
             if name:
@@ -109,7 +123,7 @@ class Sealed:
     def seal_parent(self, rows: DataFrame, registration: Registration, fields: list[str] | None = None) -> DataFrame:
         """The parent's columns, with the fields' values sealed; fields not given in the rows are null."""
         fields = list(registration.fields) if fields is None else fields
-        keyed = self._checked_keys(rows, registration)
+        keyed = self._keyed(self._checked_keys(rows, registration), registration, [n for n in fields if n in rows.columns], registration.row)
         scope = F.col(registration.scope) if registration.scope else F.lit(UNSCOPED)
         out = []
         for name in fields:
@@ -122,11 +136,11 @@ class Sealed:
             raw = codec.encode_col(spec.kind, value, spec.precision, spec.scale)
             bad = F.lit(False) if spec.nullable else value.isNull()
             if spec.max_bytes is not None:
-                bad = bad | (F.octet_length(raw) > spec.max_bytes)
+                raw = F.when(F.octet_length(raw) > spec.max_bytes, F.raise_error(F.lit(f"HUSHLAKE LIMIT_EXCEEDED: {name}")).cast("binary")).otherwise(raw)
             raw = F.when(bad, F.raise_error(F.lit(f"HUSHLAKE INVALID_VALUE: {name}")).cast("binary")).otherwise(raw)
             if spec.validate is not None:
                 raw = F.when(value.isNotNull() & ~spec.validate.check(value), F.raise_error(F.lit(f"HUSHLAKE VALIDATION_FAILED: {name}")).cast("binary")).otherwise(raw)
-            out.append(self._cipher(registration, name).seal(raw, scope, F.col(registration.row)).alias(registration.column(name)))
+            out.append(self._cipher(registration, name).seal(raw, scope, F.col(registration.row), F.col(f"__hl_key_{name}")).alias(registration.column(name)))
         return keyed.select(*registration.keys, *(c for c in registration.plain if c in rows.columns), *out)
 
     def companion_of(self, rows: DataFrame, registration: Registration, **options) -> DataFrame:
@@ -136,7 +150,7 @@ class Sealed:
         """The rows with their sealed columns opened in place.
 
         By default every sealed column that is there becomes a column with its field's name; columns
-        maps field names to the columns that hold them where they were renamed, and row and
+        maps field names to the columns that hold them (binary, or hex text after \\x) where they were renamed, and row and
         scope name the columns of the row's identity and its tenant.  Do it before a join that repeats rows.
         """
         row, scope = row or registration.row, scope or registration.scope
@@ -144,12 +158,18 @@ class Sealed:
         where = {n: registration.column(n) for n in registration.fields if registration.column(n) in rows.columns} if columns is None else columns
         ensure(set(where) <= set(registration.fields) and set(where.values()) <= set(rows.columns))
         scope_col = F.col(f"`{scope}`") if scope else F.lit(UNSCOPED)
-        opened = {}
+        opened, types = {}, dict(rows.dtypes)
         for name, column in where.items():
             spec = registration.fields[name]
-            raw = self._cipher(registration, name).open(F.col(f"`{column}`"), scope_col, F.col(f"`{row}`"), strict)
+            sealed = F.col(f"`{column}`")
+            if types[column] == "string":
+                # as drivers write binary values: \\x and pairs of hex digits
+                bad = F.raise_error(F.lit(f"HUSHLAKE INVALID_VALUE: {name}")).cast("binary") if strict else F.lit(None).cast("binary")
+                sealed = F.when(sealed.isNull() | sealed.rlike(r"^\\x(?:[0-9a-fA-F]{2})*$"), F.unhex(F.substring(sealed, 3, 1 << 30))).otherwise(bad)
+            raw = self._cipher(registration, name).open(sealed, scope_col, F.col(f"`{row}`"), strict, F.col(f"__hl_key_{name}"))
             opened[column] = codec.decode_col(spec.kind, raw, spec.precision, spec.scale).alias(name if columns is None else column)
-        return rows.select(*(opened.get(c, F.col(f"`{c}`")) for c in rows.columns))
+        keyed = self._keyed(rows, registration, list(where), row)
+        return keyed.select(*(opened.get(c, F.col(f"`{c}`")) for c in rows.columns))
 
     def open_rows(self, rows: DataFrame, registration: Registration, *, max_rows: int | None = None, max_bytes: int | None = None, deadline_ms: int | None = None, **options) -> list[dict]:
         """open() brought to the driver, all or nothing: beyond a limit it is LIMIT_EXCEEDED."""
@@ -299,12 +319,15 @@ class Sealed:
         rows = self.where(table, match, scope=scope, where=where)
         if position is not None:
             rows = rows.where(self.after(orders, types, position))
-        rows = rows.orderBy(*self.sort_columns(orders))
+        # opened after the limit, so that no row is opened in vain; without one, ordered at the end, since opening is a join
+        sorts = [F.col(o.column).alias(f"__hl_order_{i}") for i, o in enumerate(orders)] if limit is None else []
         if limit is not None:
-            rows = rows.limit(limit)
-        # opened after the limit, so that no row is opened in vain
-        rows = rows.select(*(names[c] for c in chosen), *(self._position_columns(orders, types) if _internal else []), *([sum((F.coalesce(F.octet_length(names[c]), F.lit(0)) for c in chosen if c in r.fields), F.lit(0)).alias("__hl_size")] if _internal else []))
-        return self.open(rows, r) if opened else rows
+            rows = rows.orderBy(*self.sort_columns(orders)).limit(limit)
+        rows = rows.select(*sorts, *(names[c] for c in chosen), *(self._position_columns(orders, types) if _internal else []), *([sum((F.coalesce(F.octet_length(names[c]), F.lit(0)) for c in chosen if c in r.fields), F.lit(0)).alias("__hl_size")] if _internal else []))
+        rows = self.open(rows, r) if opened else rows
+        if limit is None:
+            rows = rows.orderBy(*self.sort_columns([Order(f"__hl_order_{i}", o.direction) for i, o in enumerate(orders)])).drop(*(f"__hl_order_{i}" for i in range(len(orders))))
+        return rows
 
     def find_many(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, scope: str | None = None, where: Column | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, cursor: str | None = None, budgets: Budgets | None = None, cancelled: Callable[[], bool] | None = None) -> Page:
         """A page of opened rows and the cursor to the next; None once a page came out short."""

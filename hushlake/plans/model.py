@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import re
 from collections.abc import Callable
@@ -76,6 +77,37 @@ class Validator:
     check: Callable[[Any], Any]
 
 
+def _whole(low: int, high: float = math.inf):
+    return lambda x, _: isinstance(x, int) and not isinstance(x, bool) and low <= x <= high
+
+
+def _option(**parts):
+    """True, or a dictionary of options that are each valid."""
+    return lambda x, spec: x is True or isinstance(x, dict) and all(k in parts and parts[k](v, spec) for k, v in x.items())
+
+
+# What each option of a field, and of its search, may be: the types of field it is for, and what it has to fulfil.
+_DEFAULTS = {"nullable": False, "precision": 0, "scale": 0}
+_FIELD_RULES = {
+    "kind": (codec.TYPES, lambda x, _: True),
+    "id": (codec.TYPES, lambda x, _: isinstance(x, str) and x != "" and "/" not in x),
+    "column": (codec.TYPES, lambda x, _: isinstance(x, str) and x != ""),
+    "nullable": (codec.TYPES, lambda x, _: isinstance(x, bool)),
+    "precision": (("decimal",), _whole(1, 38)),
+    "scale": (("decimal",), lambda x, spec: _whole(0, spec.precision)(x, spec)),
+    "max_bytes": (codec.TYPES, _whole(1)),
+    "validate": (codec.TYPES, lambda x, _: bool(x.id) and callable(x.check) and _whole(1)(x.version, _)),
+    "search": (codec.SEARCHABLE, lambda x, _: isinstance(x, dict)),
+    "hardened": (codec.SEARCHABLE, lambda x, spec: x is True and bool(spec.search)),
+}
+_SEARCH_RULES = {
+    EXACT: (codec.SEARCHABLE, _option(bits=_whole(2, 32))),
+    SUBSTRING: (("text",), _option(skip_grams=lambda x, _: isinstance(x, bool))),
+    "normalizer": (("text",), lambda x, _: x in (DIGITS, KEEP_SPACES)),
+    "protection": (codec.SEARCHABLE, lambda x, _: x == "standard"),
+}
+
+
 @dataclass(frozen=True)
 class FieldSpec:
     kind: str
@@ -90,29 +122,14 @@ class FieldSpec:
     hardened: bool | None = None
 
     def __post_init__(self):
-        ok = lambda x: ensure(x, "INVALID_SCHEMA")
-        ok(self.kind in codec.TYPES)
-        ok(self.id is None or isinstance(self.id, str) and self.id and "/" not in self.id)
-        ok(self.max_bytes is None or isinstance(self.max_bytes, int) and self.max_bytes > 0)
-        if self.kind == "decimal":
-            ok(1 <= self.precision <= 38 and 0 <= self.scale <= self.precision)
-        if self.validate is not None:
-            ok(self.validate.id and isinstance(self.validate.version, int) and self.validate.version > 0 and callable(self.validate.check))
-        ok(self.hardened is None or self.hardened is True and bool(self.search))
-        if not self.search:
-            return
-        ok(self.kind in codec.SEARCHABLE and (EXACT in self.search or SUBSTRING in self.search))
-        for key, value in self.search.items():
-            ok(key in (EXACT, SUBSTRING, "normalizer", "protection"))
-            if key == "protection":
-                ok(value == "standard")
-            elif key == "normalizer":
-                ok(self.kind == "text" and value in (DIGITS, KEEP_SPACES))
-            elif key == SUBSTRING:
-                ok(self.kind == "text" and (value is True or isinstance(value, dict) and set(value) <= {"skip_grams"} and all(isinstance(v, bool) for v in value.values())))
-            else:
-                bits = value.get("bits", 16) if isinstance(value, dict) else 16
-                ok((value is True or isinstance(value, dict) and set(value) <= {"bits"}) and isinstance(bits, int) and not isinstance(bits, bool) and 2 <= bits <= 32)
+        given = {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
+        search = dict(self.search or {})
+        for options, rules in ((given, _FIELD_RULES), (search, _SEARCH_RULES)):
+            for name, value in options.items():
+                kinds, valid = rules.get(name, ((), None))
+                ensure(value is None or value == _DEFAULTS.get(name, ...) or self.kind in kinds and valid(value, self), "INVALID_SCHEMA")
+        ensure(self.kind in codec.TYPES and (self.kind != "decimal" or self.precision > 0), "INVALID_SCHEMA")
+        ensure(not search or EXACT in search or SUBSTRING in search, "INVALID_SCHEMA")
 
     @property
     def parameters(self) -> str:

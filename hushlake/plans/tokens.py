@@ -110,6 +110,26 @@ class TextIndex:
                 return tokens, salt, len(value), [s for s, _ in stamped], [o for _, o in stamped]
 
 
+class ValueIndex:
+    """Index entries of whole values, with the values met so far remembered."""
+
+    MOST = 200_000
+
+    def __init__(self, keys: ProfileKeys):
+        self.keys = keys
+        self._known: dict[tuple[str, bytes], tuple[int, bytes]] = {}
+
+    def exact(self, raw: bytes, scope: str) -> tuple[int, bytes, int]:
+        """(token, salt, stamp)"""
+        known = self._known.get((scope, raw))
+        if known is None:
+            if len(self._known) >= self.MOST:
+                self._known.clear()
+            known = self._known[scope, raw] = self.keys.token_of(scope, raw), self.keys.proof_of(scope, raw)
+        salt = os.urandom(16)
+        return known[0], salt, stamp(known[1], salt)
+
+
 def exact_bytes(profile: Profile, value: str | bytes) -> bytes:
     """What an exact search compares: normalized text, or the codec's bytes."""
     assert profile.mode == EXACT

@@ -3,8 +3,8 @@
 A version is a manifest that lists parts and tombstones.  Writing adds parts (and
 tombstones of rows that are replaced or deleted) and then creates the next manifest, whose name
 can be created only once: parent and companion change together or not at all, readers
-keep the version they opened, and of two writers one gets TRANSACTION_CONFLICT.  A
-change costs what it changes; compact() folds tombstones in.
+keep the version they opened, and of two writers one gets TRANSACTION_CONFLICT.  Writing costs what it changes, and a
+look at the ids that are there; compact() folds tombstones in, vacuum() removes old versions.
 """
 
 from __future__ import annotations
@@ -153,12 +153,8 @@ class Store:
         cores = self.spark.sparkContext.defaultParallelism
         return sealed.repartition(cores, *self.registration.keys) if size < cores * FILE_BYTES else sealed
 
-    def insert(self, rows: DataFrame, *, returning: bool = False, batch: str | None = None) -> DataFrame | None:
-        """Seal and add rows; missing UUIDs are made, omitted nullable fields are null.  A named batch is added once."""
-        m, rows = self._manifest(), self._ready(rows)
-        if batch is not None and batch in m["batches"]:
-            return None
-        ensure(batch is not None or rows.limit(1).count())
+    def _inserted(self, m: dict, rows: DataFrame) -> tuple[dict, DataFrame]:
+        """The manifest with new rows, not yet committed, and what was written."""
         if m["version"]:
             old = self._table(m).parent.select(*self._identity())
             if self.registration.row in rows.columns:
@@ -166,12 +162,29 @@ class Store:
         added = self._add(m, rows)
         written = added.pop("written")
         self._distinct(written)
-        self._commit(m, **added, rows=m["rows"] + written.count(), batches=[*m["batches"], *([batch] if batch is not None else [])])
+        return {**m, **added, "rows": m["rows"] + written.count()}, written
+
+    def insert(self, rows: DataFrame, *, returning: bool = False, batch: str | None = None) -> DataFrame | None:
+        """Seal and add rows; missing UUIDs are made, omitted nullable fields are null.  A named batch is added once."""
+        m, rows = self._manifest(), self._ready(rows)
+        if batch is not None and batch in m["batches"]:
+            return None
+        ensure(batch is not None or rows.limit(1).count())
+        new, written = self._inserted(m, rows)
+        self._commit(new, batches=[*m["batches"], *([batch] if batch is not None else [])])
         return written if returning else None
 
     def update(self, patch: DataFrame, *, must_exist: bool = True) -> int:
         """Replace the given fields of rows named by their keys; what is not given keeps its ciphertext and its proofs."""
-        r, m, patch = self.registration, self._manifest(), self._ready(patch, known=True)
+        m, patch = self._manifest(), self._ready(patch, known=True)
+        new, n = self._updated(m, patch, must_exist)
+        if n:
+            self._commit(new)
+        return n
+
+    def _updated(self, m: dict, patch: DataFrame, must_exist: bool) -> tuple[dict, int]:
+        """The manifest with replaced rows, not yet committed, and their number."""
+        r = self.registration
         given = [c for c in patch.columns if c not in r.keys]
         ensure(given)
         self._distinct(patch)
@@ -181,7 +194,7 @@ class Store:
         n = old.count()
         ensure(not must_exist or n == patch.count(), "NOT_FOUND")
         if not n:
-            return 0
+            return m, 0
         patch = patch.join(old.select(*r.keys), r.keys, "left_semi")
         fields = [c for c in given if c in r.fields]
         fresh = self.sealed.seal_parent(patch, r, fields)
@@ -206,13 +219,12 @@ class Store:
                 live = live | x
             index = self._write(merged.where(live), "index")
             changes |= {"companion": [*m["companion"], [index, seq]], "gone_index": [*m["gone_index"], [self._write(ids, "gone"), seq]]}
-        self._commit(m, **changes)
-        return n
+        return {**m, **changes}, n
 
     def upsert(self, rows: DataFrame) -> tuple[int, int]:
-        """(inserted, updated): rows that are there take the given values, the others are added; a row of another scope is SCOPE_CONFLICT."""
-        r, rows = self.registration, self._ready(rows, known=True)
-        table = self.table()
+        """(inserted, updated): rows that are there take the given values, the others are added, in one commit; a row of another scope is SCOPE_CONFLICT."""
+        r, rows, m = self.registration, self._ready(rows, known=True), self._manifest()
+        table = self._table(m)
         if r.scope and r.unique_row:
             held = table.parent.select(F.col(r.row), F.col(r.scope).alias("__scope"))
             ensure(not rows.join(held, r.row).where(F.col(r.scope) != F.col("__scope")).limit(1).count(), "SCOPE_CONFLICT")
@@ -220,9 +232,12 @@ class Store:
         there = rows.join(table.parent.select(*r.keys), r.keys, "left_semi")
         new = rows.join(table.parent.select(*r.keys), r.keys, "left_anti")
         n_new = new.count()
-        updated = self.update(there, must_exist=False) if set(rows.columns) - set(r.keys) else there.count()
+        changed, updated = self._updated(m, there, False) if set(rows.columns) - set(r.keys) else (m, there.count())
         if n_new:
-            self.insert(new)
+            # of the same version: the tombstones of the update do not reach these parts
+            changed, _ = self._inserted(changed, new)
+        if changed is not m:
+            self._commit(changed)
         return n_new, updated
 
     def delete(self, match=None, *, scope: str | None = None, where=None, rows: DataFrame | None = None) -> int:
@@ -259,6 +274,18 @@ class Store:
         index = self._write(table.companion.sortWithinPartitions("scope_id", "row_id"), "index")
         self._commit(m, parent=[[parent, seq]], companion=[[index, seq]], gone=[], gone_index=[])
 
+    def vacuum(self, *, keep: int = 10, older_s: float = 86_400) -> int:
+        """Remove all but the newest versions, and files that none of these names; files younger than older_s may belong to a writer and stay. Returns how many names went."""
+        ensure(keep >= 1)
+        ages = files.ages(self.spark, self.path)
+        versions = sorted(n for n in ages if n.startswith("manifest-"))
+        kept = [json.loads(files.read(self.spark, f"{self.path}/{n}")) for n in versions[-keep:]]
+        named = {name for m in kept for k in ("parent", "companion", "gone", "gone_index") for name, _ in m[k]} | set(versions[-keep:])
+        gone = [n for n, age in ages.items() if n not in named and age >= older_s and n.startswith(("manifest-", "parent-", "index-", "gone-", "writing-"))]
+        for n in sorted(gone, key=lambda n: not n.startswith("manifest-")):  # first the manifests that name the others
+            files.remove(self.spark, f"{self.path}/{n}")
+        return len(gone)
+
     def preflight(self) -> int:
         """Check what is on disk against the registration; returns the number of rows."""
         r, table = self.registration, self.table()

@@ -5,6 +5,8 @@ from hushlake.errors import SealError
 from hushlake.functions.keys import Keyring
 from hushlake.operators.search import Sealed
 from hushlake.plans import model as s
+from hushlake.plans.tokens import ProfileKeys
+from hushlake.sources import files
 from hushlake.sources.store import Store, prepare_all
 from hushlake.streaming.ingest import seal_stream
 
@@ -69,6 +71,53 @@ def test_upsert(spark, store):
     assert code_of(lambda: store.upsert(spark.createDataFrame([("r1", "a", "x")], "id string, tenant string, body string"))) == "SCOPE_CONFLICT"
 
 
+def test_upsert_is_one_commit(spark, store, monkeypatch):
+    one = spark.createDataFrame([("r1", "b", "upserted old"), ("new", "b", "upserted new")], "id string, tenant string, body string")
+    want, version = rows(store), store.version
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_add", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.upsert(one)
+    assert store.version == version and rows(store) == want
+    assert store.upsert(one) == (1, 1) and store.version == version + 1
+    assert len(rows(store)) == len(index(store)) == 21 and rows(store)["r1"].body == "upserted old"
+
+
+def test_manifests_appear_whole(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/manifest-1"
+    seen = []
+    monkeypatch.setattr(files.os, "link", lambda a, b, link=files.os.link: (seen.append(files.names(spark, str(tmp_path))), link(a, b)))
+    files.create(spark, path, "text")
+    assert "manifest-1" not in seen[0] and files.names(spark, str(tmp_path)) == ["manifest-1"] and files.read(spark, path) == "text"
+    assert code_of(lambda: files.create(spark, path, "other")) == "TRANSACTION_CONFLICT"
+    assert files.names(spark, str(tmp_path)) == ["manifest-1"] and files.read(spark, path) == "text"
+
+
+def test_vacuum(spark, store):
+    store.delete(rows=spark.createDataFrame([("r1", "b")], "id string, tenant string"))
+    store.compact()
+    want, names = rows(store), files.names(spark, store.path)
+    assert store.vacuum(keep=1) == 0 and files.names(spark, store.path) == names
+    assert store.vacuum(keep=1, older_s=0) == len(names) - 3  # a manifest, a parent and an index stay
+    assert rows(store) == want and len(index(store)) == 19
+
+
+def test_no_key_in_any_plan(spark, store):
+    keys = [k.hex().upper() for f in ("body", "n", "doc") for k in ENGINE._cipher(REG, f).keys]
+    for _, p in REG.profiles:
+        own = ProfileKeys.of(ENGINE.ring, p)
+        for key, size in ((own.token, 128), (own.proof, 64)):
+            keys += [key.hex().upper(), *(bytes(b ^ pad for b in key.ljust(size, b"\0")).hex().upper() for pad in (0x36, 0x5C))]
+    t = store.table()
+    plain = spark.createDataFrame([("q", "a", "body", 1, "{}", "l")], SCHEMA)
+    for frame in (ENGINE.seal_parent(plain, REG), ENGINE.companion_of(plain, REG), ENGINE.open(t.parent, REG), ENGINE.list_rows(t, lambda m: m.body.contains("memo"), scope="a", limit=3), ENGINE.list_rows(t, scope="a")):
+        frame.collect()
+        q = frame._jdf.queryExecution()
+        text = " ".join(str(x.toString()) for x in (q, q.logical(), q.analyzed(), q.optimizedPlan(), q.sparkPlan(), q.executedPlan())).upper()
+        assert "__HL_KEY_BODY" in text or "ARROW" in text
+        assert not [k for k in keys if k in text]
+
+
 def test_delete_compact_reindex(spark, store):
     assert store.delete(lambda m: m.body.ends_with("13"), scope="b") == 1
     assert store.delete(scope="a", where=F.col("label") == "l4") == 1 and store.delete(rows=spark.createDataFrame([("zz", "a")], "id string, tenant string")) == 0
@@ -120,7 +169,7 @@ def test_validators_uuids_and_limits(spark, tmp_path):
     assert sorted(len(x.id) for x in written.collect()) == [36, 36] and sorted(x.a for x in rows(store).values()) == ["one", "two"]
     assert ENGINE.count(store.table(), lambda m: m.a.eq("ONE")) == 1
     new = lambda a, p=None: store.insert(spark.createDataFrame([(a, p)], "a string, p string"))
-    assert code_of(lambda: new("bad")) == "VALIDATION_FAILED" and code_of(lambda: new("toolong")) == "INVALID_VALUE" and code_of(lambda: new(None)) == "INVALID_VALUE"
+    assert code_of(lambda: new("bad")) == "VALIDATION_FAILED" and code_of(lambda: new("toolong")) == "LIMIT_EXCEEDED" and code_of(lambda: new(None)) == "INVALID_VALUE"
     assert code_of(lambda: new("ok", "12a")) == "INVALID_VALUE"
     assert code_of(lambda: store.insert(spark.createDataFrame([("A0000000-0000-0000-0000-000000000000", "x")], "id string, a string"))) == "INVALID_ID"
     assert len(rows(store)) == 2
