@@ -13,10 +13,11 @@ Scale: what travels at the shortest level is a hash and a place for each picked
 once to be counted (a minimum and a maximum, aggregated before the shuffle)
 and once to learn whether it survives; the texts of documents with survivors
 then meet their places and are extended.  At the last level all
-windows that picked one short window travel as one row and meet in one sorted run,
-unless the short window is found more than `run_limit` times: such windows (a phrase that is
-common all over the corpus) travel one by one, by the hash of the extended window,
-and are aggregated before the shuffle.  Joins on hashes are left to the optimizer's splitting
+windows that picked one short window travel as one row and meet in one sorted run.
+A short window that was counted more than `run_limit` times (a phrase that is
+common all over the corpus) is dealt out in as many parts as its count asks for;
+each part tells the smallest and largest document of its different extended windows, these are aggregated, and
+the parts learn what repeats.  Joins on hashes are left to the optimizer's splitting
 of skewed partitions.  Neither groups nor pairs of documents are ever formed.
 """
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SPACE, U64, Words, by_row, chunks, covered
+from .kernel import SPACE, U64, Words, by_row, chunks, covered, mix
 from .scratch import cut, drop, empty, small_batches
 
-RUN_LIMIT = 10_000
+RUN_LIMIT = 2000
 _POS, _AHEAD = 32, 8  # bits of a position in its document, and of the distance to the short window
-_HOT = 1 << (_POS + _AHEAD)  # a bit above them: the short window is common
+_LOW = (1 << _POS) - 1
 _BLOCK = 1 << 18  # windows that are looked at together
 
 
@@ -90,19 +91,19 @@ def _anchors(short: int, long: int, places: bool):
     return run
 
 
-_EXTENDED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("prints", pa.binary())])
+_EXTENDED = pa.schema([(c, pa.int64()) for c in ("h", "part", "doc", "mark", "at")] + [("prints", pa.binary())])
 
 
 def _extended(short: int, long: int, first: bool, packed: bool):
     """Windows of the long level whose short windows survive.
 
     At the first level those whose picked short window does, at later levels those that begin
-    and end with a survivor.  If packed, windows of one short window that is not common are one row;
-    others are a row each, without h.
+    and end with a survivor.  If packed, the windows of one short window are one row, in the part
+    that its document belongs to (-1 if there is only one part); else they are a row each, without h.
     """
 
-    def batch_of(h, doc, mark, at, prints, ends):
-        return pa.RecordBatch.from_arrays([h, *(pa.array(x, pa.int64()) for x in (doc, mark, at)), pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32) * 16), pa.py_buffer(prints)])], schema=_EXTENDED)
+    def batch_of(h, part, doc, mark, at, prints, ends):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, part, doc, mark, at)), pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32) * 16), pa.py_buffer(prints)])], schema=_EXTENDED)
 
     def run(batches):
         for batch in batches:
@@ -112,94 +113,147 @@ def _extended(short: int, long: int, first: bool, packed: bool):
                 words = Words(texts, SPACE)
                 survivors = alive.slice(texts.lo, len(texts))
                 places = survivors.flatten().to_numpy()
-                where = (places & ((1 << _POS) - 1)) + np.repeat(words.first[:-1], survivors.value_lengths().to_numpy())
-                live = np.zeros(len(words) + 1, dtype=bool)
-                live[where] = True
+                # how many parts the short window at a word is dealt out in; 0 where it does not survive
+                parts = np.zeros(len(words) + 1, dtype=np.int32)
+                parts[(places & _LOW) + np.repeat(words.first[:-1], survivors.value_lengths().to_numpy())] = np.maximum(1, places >> _POS)
                 if first:
                     at, ahead, best = _picked(words, short, long)
-                    some = live[at + ahead]
+                    some = parts[at + ahead] > 0
                     at, ahead, best = at[some], ahead[some], best[some]
                 else:
                     at = words.window_starts(long)
-                    at = at[live[at] & live[at + long - short]]
+                    at = at[(parts[at] > 0) & (parts[at + long - short] > 0)]
                 if not len(at):
                     continue
                 prints = np.stack([words.span(at, long), words.span(at, long, other=True)], axis=1)
                 row = words.row[at]
                 doc, mark, pos = ids[texts.lo + row], marks[texts.lo + row], at - words.first[row]
-                alone = np.ones(len(at), dtype=bool)
-                if packed:
-                    common = np.zeros(len(words) + 1, dtype=bool)
-                    common[where[places >= _HOT]] = True
-                    alone = common[at + ahead]
-                    few = np.flatnonzero(~alone)
-                    if len(few):
-                        picked = (at + ahead)[few]
-                        # a run is one stretch of windows that pick the same place
-                        head = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (few[1:] != few[:-1] + 1) | (at[few][1:] != at[few][:-1] + 1)]))
-                        k = few[head]
-                        yield batch_of(pa.array(best[k].view(np.int64)), doc[k], mark[k], (ahead[k] << _POS) | pos[k], prints[few].copy(), np.append(head, len(few)))
-                one = np.flatnonzero(alone)
-                if len(one):
-                    yield batch_of(pa.nulls(len(one), pa.int64()), doc[one], mark[one], pos[one], prints[one].copy(), np.arange(len(one) + 1))
+                if not packed:
+                    none = np.zeros(len(at), dtype=np.int64)
+                    yield batch_of(none, none, doc, mark, pos, prints, np.arange(len(at) + 1))
+                    continue
+                k = _heads(at + ahead)
+                n = parts[(at + ahead)[k]]
+                part = np.where(n > 1, (mix(doc[k].view(U64)) % n.astype(U64)).astype(np.int64), -1)
+                yield batch_of(best[k].view(np.int64), part, doc[k], mark[k], (ahead[k] << _POS) | pos[k], prints, np.append(k, len(at)))
 
     return run
 
 
-def _later(h, doc, at, ends, prints):
-    """For rows in order of (h, doc): a bit for each long window whose like starts in an earlier document."""
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    run = np.cumsum(new) - 1
+def _windows(at, ends, prints):
+    """The windows of packed rows, one by one: their row, their number in it, how far ahead the short window is, and their hashes."""
     sizes = ends[1:] - ends[:-1]
-    row = np.repeat(np.arange(len(h)), sizes)
+    row = np.repeat(np.arange(len(at)), sizes)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prints = prints[np.repeat(ends[:-1], sizes) + inner]
-    ahead = ((at >> _POS)[row] - inner).astype(U64)
-    place = (run[row].astype(U64) << U64(_AHEAD)) | ahead
+    return row, inner, (at >> _POS)[row] - inner, prints[np.repeat(ends[:-1], sizes) + inner]
+
+
+def _alike(group, ahead, prints):
+    """An order in which equal windows of a group stand together (else as they were), and the number of each window's kind in it."""
+    place = (group.astype(U64) << U64(_AHEAD)) | ahead.astype(U64)
     order = np.lexsort((prints[:, 1], prints[:, 0], place))
     g, p = place[order], prints[order]
     head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]).any(axis=1)])
-    who = doc[row][order]
-    # the sort is stable: the first of equal windows is of the smallest document
-    hit = np.zeros(len(row), dtype=np.int64)
-    hit[order] = who > who[np.flatnonzero(head)][np.cumsum(head) - 1]
-    mask = np.add.reduceat(hit << inner, np.cumsum(sizes) - sizes)
-    found = np.flatnonzero(mask)
-    return found, mask[found]
-
-
-_FOUND = "doc long, mark long, at long, mask long"
-
-
-def _repeats(batches):
-    """Stream over packed rows sorted by (h, doc); one run is held at a time, and a run has a bounded number of rows."""
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())])
-
-    def solve(table):
-        h, doc, mark, at = (table[c].to_numpy() for c in ("h", "doc", "mark", "at"))
-        column = table["prints"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 16
-        rows, mask = _later(h, doc, at, ends, np.frombuffer(column.buffers()[2], np.uint64).reshape(-1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows], mark[rows], at[rows] & ((1 << _POS) - 1), mask)], schema=schema)
-
-    held, n = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < 50_000:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        h = table["h"].to_numpy()
-        k = int(np.searchsorted(h, h[-1], side="left"))
-        if k:
-            yield solve(table.slice(0, k))
-        held = table.slice(k).to_batches()
-        n -= k
-    if n:
-        yield solve(pa.Table.from_batches(held).combine_chunks())
+    return order, np.flatnonzero(head), np.cumsum(head) - 1
+
+
+_FLAGS = pa.list_(pa.int64())
+_OUT = pa.schema([(c, pa.int64()) for c in ("kind", "doc", "mark", "at", "h", "part")] + [("prints", pa.binary()), ("flags", _FLAGS)])
+_OUT_COLUMNS = "kind long, doc long, mark long, at long, h long, part long, prints binary, flags array<long>"
+#: Kinds of rows: a window's smallest (doc) and largest (mark) document in its part, a row of a part, and what was found in a document.
+_LEAST, _ROW, _FOUND = 0, 1, 2
+
+
+def _out(kind, doc, mark, at=None, h=None, part=None, prints=None, flags=None) -> pa.RecordBatch:
+    n = len(doc)
+    numbers = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (np.full(n, kind), doc, mark, at, h, part)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.nulls(n, pa.binary()) if prints is None else prints, pa.nulls(n, _FLAGS) if flags is None else flags], schema=_OUT)
+
+
+def _hashes_of(table) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and hashes of the windows of each row."""
+    column = table["prints"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 16
+    return ends, np.frombuffer(column.buffers()[2], np.uint64).reshape(-1, 2)
+
+
+def _flags(hit, row, inner, doc, mark, at) -> pa.RecordBatch:
+    """For each document with hits, pairs: a place, and a bit for each window from there on that is a hit."""
+    bits = np.zeros(len(at), dtype=np.int64)
+    np.bitwise_or.at(bits, row[hit], np.int64(1) << inner[hit])
+    found = np.flatnonzero(bits)
+    found = found[np.lexsort((mark[found], doc[found]))]
+    d, m = doc[found], mark[found]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])) if len(found) else found
+    pairs = np.stack([at[found] & _LOW, bits[found]], axis=1).ravel()
+    flags = pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(found)), pa.int32()), pa.array(pairs))
+    return _out(_FOUND, d[first], m[first], flags=flags)
+
+
+def _repeats(table):
+    """Places of windows of which an earlier document has the like; rows of parts go on, with what each part holds."""
+    h, part, doc, mark, at = (table[c].to_numpy() for c in ("h", "part", "doc", "mark", "at"))
+    ends, prints = _hashes_of(table)
+    group = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])) - 1
+    row, inner, ahead, prints = _windows(at, ends, prints)
+    order, heads, kind = _alike(group[row], ahead, prints)
+    who = doc[row][order]  # within a kind in the order of documents
+    hit = np.zeros(len(row), dtype=bool)
+    hit[order] = who > who[heads][kind]
+    split = part >= 0
+    yield _flags(hit & ~split[row], row, inner, doc, mark, at)
+    if split.any():
+        one = heads[split[row[order[heads]]]]
+        last = np.append(heads[1:], len(order))[split[row[order[heads]]]] - 1
+        k = order[one]
+        own = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.arange(0, 16 * len(k) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(prints[k]))])
+        yield _out(_LEAST, who[one], who[last], ahead[k], h[row[k]], part[row[k]], own)
+        gone = np.flatnonzero(split)
+        yield _out(_ROW, doc[gone], mark[gone], at[gone], h[gone], part[gone], table["prints"].take(pa.array(gone)).combine_chunks())
+
+
+def _resolved(table):
+    """The same for parts: each has the smallest documents of its windows that repeat, and then its rows."""
+    h, part, doc, mark, at, kinds = (table[c].to_numpy() for c in ("h", "part", "doc", "mark", "at", "kind"))
+    ends, prints = _hashes_of(table)
+    least = kinds == _LEAST
+    group = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])) - 1
+    row, inner, ahead, prints = _windows(np.where(least, at << _POS, at), ends, prints)
+    order, heads, kind = _alike(group[row], ahead, prints)
+    first = row[order[heads]]
+    lo = np.where(least[first], doc[first], np.iinfo(np.int64).max)
+    hit = np.zeros(len(row), dtype=bool)
+    hit[order] = doc[row[order]] > lo[kind]
+    yield _flags(hit & ~least[row], row, inner, doc, mark, at)
+
+
+def _streamed(solve, keys: list[str]):
+    """Run over tables of whole groups of rows sorted by the keys; about one group is held at a time."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < 50_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            differ = np.zeros(table.num_rows, dtype=bool)
+            for key in keys:
+                column = table[key].to_numpy()
+                differ |= column != column[-1]
+            k = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
+            if k:
+                yield from solve(table.slice(0, k).combine_chunks())
+            held = table.slice(k).to_batches()
+            n -= k
+        if n:
+            yield from solve(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
 
 def _applied(window: int):
@@ -216,7 +270,7 @@ def _applied(window: int):
                     marks = flags[texts.lo + r]
                     if not marks.is_valid:
                         continue
-                    v = np.array(marks.values.flatten().to_numpy()).reshape(-1, 2)
+                    v = marks.values.to_numpy().reshape(-1, 2)
                     bits = np.flatnonzero((v[:, 1][:, None] >> np.arange(window)) & 1)
                     starts.append(words.first[r] + (v[:, 0] & ((1 << _POS) - 1))[bits // window] + bits % window)
                 starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -240,37 +294,44 @@ def _repeated(windows: DataFrame, by: str) -> DataFrame:
 
 
 def _found(rows: DataFrame, window: int, run_limit: int) -> DataFrame:
-    """Places of windows of which an earlier document has the like."""
+    """Places of windows of which an earlier document has the like: doc, mark and flags, which may come in several rows for a document."""
     levels = _levels(window)
-    schema = "h long, doc long, mark long, at long, prints binary"
     first = rows.mapInArrow(_anchors(levels[0], levels[1], False), "h long, doc long")
-    again = cut(_repeated(first, "h").select("h", (F.col("n") > run_limit).alias("hot")), free=True)
+    again = cut(_repeated(first, "h").select("h", F.ceil(F.col("n") / run_limit).cast("int").alias("parts")), free=True)
     places = rows.mapInArrow(_anchors(levels[0], levels[1], True), "h long, doc long, mark long, at long")
-    alive = places.join(again, "h").select("doc", "mark", F.when(F.col("hot"), F.col("at").bitwiseOR(F.lit(_HOT))).otherwise(F.col("at")).alias("at"))
+    alive = cut(places.join(again, "h").select("doc", "mark", F.col("at").bitwiseOR(F.shiftleft(F.col("parts").cast("long"), _POS)).alias("at")), free=True)
+    drop(again)
     for k in range(1, len(levels)):
         last = k == len(levels) - 1
         packed = last and k == 1
-        per_doc = alive.groupBy("doc", "mark").agg(F.collect_list("at").alias("alive"))
-        texts = rows.join(per_doc.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "mark"]).select("doc_id", "mark", "text", "alive")
-        windows = texts.mapInArrow(_extended(levels[k - 1], levels[k], k == 1, packed), schema)
-        common = not packed or not empty(again.where("hot"))
-        if common:
-            windows = cut(windows, free=True)
-        one = windows.where("h is null").select("doc", "mark", "at", "prints")
-        least = _repeated(one, "prints").select("prints", "lo")
-        if not last:
-            alive = cut(one.join(least, "prints").select("doc", "mark", "at"), free=True)
-            if empty(alive):
-                return alive.withColumn("mask", F.lit(1).cast("long"))
-    found = one.join(least, "prints").where("doc > lo").select("doc", "mark", "at", F.lit(1).cast("long").alias("mask")) if common else None
-    if packed:
-        runs = windows.where("h is not null").repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_repeats, _FOUND)
-        found = runs if found is None else runs.unionByName(found)
-    found = cut(found, free=True)
-    drop(again)
-    if common:
+        per_doc = alive.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.collect_list("at").alias("alive"))
+        texts = rows.join(per_doc, ["doc_id", "mark"]).select("doc_id", "mark", "text", "alive")
+        windows = texts.mapInArrow(_extended(levels[k - 1], levels[k], k == 1, packed), "h long, part long, doc long, mark long, at long, prints binary")
+        if packed:
+            runs = windows.repartition("h", "part").sortWithinPartitions("h", "part", "doc").mapInArrow(_streamed(_repeats, ["h", "part"]), _OUT_COLUMNS)
+            found = cut(runs, free=True)
+            break
+        windows = cut(windows, free=True)
+        least = _repeated(windows, "prints").select("prints", "lo")
+        old, alive = alive, windows.join(least, "prints")
+        if last:
+            found = cut(alive.where("doc > lo").select("doc", "mark", F.array(F.col("at"), F.lit(1).cast("long")).alias("flags")), free=True)
+        else:
+            alive = cut(alive.select("doc", "mark", "at"), free=True)
+        drop(old)
         drop(windows)
-    return found
+        if last or empty(alive):
+            return found if last else alive.select("doc", "mark", F.array("at").alias("flags"))
+    drop(alive)
+    whole = found.where(F.col("kind") == _FOUND).select("doc", "mark", "flags")
+    least = found.where(F.col("kind") == _LEAST)
+    if empty(least):
+        return whole
+    alike = ["h", "at", "prints"]
+    more = least.groupBy(*alike).agg(F.min("doc").alias("lo"), F.max("mark").alias("hi")).where("lo < hi")
+    more = least.join(more, alike).select("kind", F.col("lo").alias("doc"), "mark", "at", "h", "part", "prints", "flags")
+    parts = found.where(F.col("kind") == _ROW).unionByName(more).repartition("h", "part").sortWithinPartitions("h", "part", "kind")
+    return whole.unionByName(parts.mapInArrow(_streamed(_resolved, ["h", "part"]), _OUT_COLUMNS).select("doc", "mark", "flags"))
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -294,7 +355,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the mark tells rows apart that share an id
     rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     found = _found(rows.where("doc_id is not null and text is not null"), window, run_limit)
-    flags = found.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.collect_list(F.array("at", "mask")).alias("flags"))
+    flags = found.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.flatten(F.collect_list("flags")).alias("flags"))
     joined = rows.join(flags, ["doc_id", "mark"], "left").select("doc_id", "text", "flags")
     apply = _applied(window)
     return joined.mapInArrow(lambda batches: apply(batches, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
