@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut, drop, empty
 
 
+_SIGN = -(1 << 63)
+
+
+def vertex(rep: Column, key: Column) -> Column:
+    """A binary that sorts by rep and then by key, so that the smallest vertex of a component tells its smallest rep."""
+    return F.concat(F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(_SIGN))), 16, "0")), key)
+
+
+def rep_of(v: Column) -> Column:
+    return F.conv(F.hex(F.substring(v, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges (a, b): root is the smallest vertex of its component.
 
@@ -15,8 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     one step further, and replaces both ends of each edge by where they hang;
     edges inside one tree vanish, so the graph shrinks geometrically and a star
     (which near-duplicate candidates form) is done in one round.  Vertices that
-    many edges share are aggregated before the shuffle (a minimum), and joins on
-    them are left to the optimizer's splitting of skewed partitions.  Every
+    many edges share are aggregated before the shuffle (a minimum) and written, so that joins on
+    them read two plain tables and the optimizer splits skewed partitions.  Every
     round is written to the shared folder, so a lost executor costs one round.
     Null ends and loops are ignored; no edges give an empty table.
     """
@@ -24,9 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not empty(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        step = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = cut(hook.join(step, "p").select("v", F.col("q").alias("p")))
+        near = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")))
+        step = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        hook = cut(near.join(step, "p").select("v", F.col("q").alias("p")))
+        drop(near)
         ends = hook.select(F.col("v").alias("a"), F.col("p").alias("x"))
         ends_b = hook.select(F.col("v").alias("b"), F.col("p").alias("y"))
         moved = links.join(ends, "a").join(ends_b, "b").where("x <> y")

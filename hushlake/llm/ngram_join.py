@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, rep_of, vertex
 from .kernel import NOT_ALNUM, U64, Words, chunks, mix
-from .scratch import cut, small_batches
+from .scratch import cut, drop, small_batches
 
 RECALL = 0.9999
 HASHES = 128
@@ -126,7 +126,7 @@ def _sets(n: int):
                 first = np.searchsorted(row, np.arange(len(texts) + 1))
                 ids, asked = _class_ids(row, value, len(texts)), want.slice(texts.lo, len(texts)).to_pylist()
                 keep = [r for r in range(len(texts)) if ids[r] == asked[r]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in keep], pa.binary()), pa.array([value[first[r] : first[r + 1]].tobytes() for r in keep], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(texts.lo, len(texts)).take(pa.array(keep, pa.int64())), pa.array([value[first[r] : first[r + 1]].tobytes() for r in keep], pa.binary())], schema=schema)
 
     return run
 
@@ -245,19 +245,21 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bands, rows = choose_bands(threshold, recall, hashes)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_sketch(n, bands, rows), "doc_id long, mark long, v binary, n_grams long, bands array<long>"))
-    classes = cut(sketch.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+    classes = cut(sketch.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).select(F.col("v").alias("key"), vertex(F.col("rep"), F.col("v")).alias("v"), "rep", "weight", "n_grams", "bands"))
     spread = classes.select("v", F.posexplode("bands").alias("band", "h"))
-    buckets = spread.groupBy("h").agg(F.min("v").alias("least"), F.count("*").alias("n")).where("n > 1")
+    buckets = cut(spread.groupBy("h").agg(F.min("v").alias("least"), F.count("*").alias("n")).where("n > 1"))
     members = spread.join(buckets, "h")
     cells = cut(components(members.select(F.col("least").alias("a"), F.col("v").alias("b"))))
 
     # a component as cell, or, where that would compare far more pairs, each of its buckets
-    sized = cells.join(classes.select("v", "rep", "weight", "n_grams", "bands"), "v")
+    sized = cells.join(classes, "v")
     whole = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
     by_bucket = buckets.join(cells, buckets["least"] == cells["v"]).groupBy("root").agg(F.sum(F.col("n").cast("double") * F.greatest(F.col("n") / block_classes, F.lit(1.0))).alias("bucket_cost"))
     plan = whole.join(by_bucket, "root").withColumn("by_bucket", F.col("n").cast("double") * F.greatest(F.col("n") / block_classes, F.lit(1.0)) > 4 * F.col("bucket_cost"))
-    plan = plan.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block_classes, F.col("grams") / block_grams))).select("root", "by_bucket", "blocks")
+    plan = plan.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block_classes, F.col("grams") / block_grams)))
+    plan = cut(plan.select("root", "by_bucket", "blocks"))
     placed = cut(sized.join(plan, "root"))
+    drop(plan)
     one = placed.where("not by_bucket").select("v", "rep", "weight", "bands", F.xxhash64("root").alias("cell"), F.lit(-1).alias("band"), "blocks")
     split = placed.where("by_bucket").select("v", "rep", "weight", "n_grams", "bands", F.posexplode("bands").alias("band", "cell"))
     per_bucket = split.groupBy("cell").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).where("n > 1").select("cell", F.ceil(F.greatest(F.col("n") / block_classes, F.col("grams") / block_grams)).alias("blocks"))
@@ -265,16 +267,16 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     members = one.unionByName(more)
     members = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
-    reps = texts.join(placed.select("v", F.col("rep").alias("doc_id")), "doc_id").select("v", "text")
+    reps = texts.join(placed.select("v", "key", F.col("rep").alias("doc_id")), "doc_id").select("key", "text", "v")
     sets = reps.mapInArrow(_sets(n), "v binary, grams binary").groupBy("v").agg(F.first("grams").alias("grams"))
     pairs = members.select("v", "weight", "bands", "cell", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "v")
     dealt = pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = cut(dealt.mapInArrow(_verify(threshold), "v binary, links long, label binary"))
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("v").alias("a"), F.col("label").alias("b")))
-    per_class = classes.select("v", "rep", "weight").join(links, "v", "left").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = per_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = per_class.join(least, "root").select("v", F.col("rep").alias("class_id"), "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = classes.select("key", "v", "rep", "weight").join(links, "v", "left").join(roots, "v", "left")
+    # the smallest vertex of a component has its smallest id
+    per_class = per_class.select(F.col("key").alias("v"), F.col("rep").alias("class_id"), rep_of(F.coalesce("root", "v")).alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     more = [F.col("mark"), F.col("v").isNotNull().alias("has_words")] if with_mark else []
     out = sketch.select("doc_id", "v", *(["mark"] if with_mark else [])).join(per_class, "v", "left")
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
