@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, rep_of, vertex
 from .ngram_join import groups, local_labels
 from .scratch import cut, small_batches
 
@@ -168,7 +168,7 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(label_col).cast("long")).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     schema = "vec_id long, v binary, label long, dim int, unit binary"
     units = cut(rows.mapInArrow(_units, schema))
-    classes = cut(units.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
+    classes = cut(units.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")).select(F.col("v").alias("key"), vertex(F.col("rep"), F.col("v")).alias("v"), "rep", "weight", "label", "dim", "unit"))
     sizes = classes.groupBy("label", "dim").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
     n, k = sizes["all"], int(min(MOST_CELLS, max(1, math.ceil(math.sqrt(sizes["most"]) / cell_share))))
     centroids: dict[int, np.ndarray] = {}
@@ -184,7 +184,7 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     radii = inputs.mapInArrow(_assigned(centroids, None, angle), with_cell).groupBy("dim", "cell").agg(F.min("near").alias("near"))
     radius = {(r["dim"], r["cell"]): math.acos(max(-1.0, min(1.0, r["near"]))) for r in radii.toLocalIterator()}
     placed = cut(inputs.mapInArrow(_assigned(centroids, radius, angle), with_cell))
-    blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    blocks = cut(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")))
     members = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = members.select("v", "weight", "label", "dim", "unit", "cell", "owned", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -192,8 +192,8 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     found = cut(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "v binary, links long, label binary"))
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("v").alias("a"), F.col("label").alias("b")))
-    per_class = classes.select("v", "rep", "weight").join(links, "v", "left").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = per_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = per_class.join(least, "root").select("v", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = classes.select("key", "v", "weight").join(links, "v", "left").join(roots, "v", "left")
+    # the smallest vertex of a component has its smallest id
+    per_class = per_class.select(F.col("key").alias("v"), rep_of(F.coalesce("root", "v")).alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = units.select("vec_id", "v").join(per_class, "v", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
