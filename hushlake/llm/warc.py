@@ -187,7 +187,7 @@ def with_revisits(pages: DataFrame, *, least: int = LEAST_REVISIT, **columns) ->
     # written, so that the join reads two plain tables and the optimizer splits what a very common payload makes skewed
     seen = cut(rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 and last.page_id is not null").select("same", "last"))
     # short payloads have no digest here and would meet in one task
-    rows = rows.withColumn("same", F.coalesce("same", F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.uuid()))))
+    rows = rows.withColumn("same", F.coalesce("same", F.concat(F.lit("page "), F.coalesce("page_id", F.xxhash64("url", "payload")).cast("string"))))
     later = F.coalesce(F.col("page_id") < F.col("last.page_id"), F.col("last.page_id").isNotNull())
     return rows.join(seen, "same", "left").select("page_id", "url", "payload", F.when(later, F.col("last.page_id")).alias("refers_to"), F.when(later, F.col("last.url")).alias("refers_url"))
 
