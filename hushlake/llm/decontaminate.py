@@ -8,16 +8,21 @@ proposes one place for the window, the length and positional bounds say
 whether it fits inside the document there, and what is left is compared word by
 word, byte for byte, over a stretch as long as the item's window.
 
-Scale: documents are never shuffled; the benchmark travels to them.  It is cut
+Scale: documents are read twice, however large the benchmark is, and never
+shuffled.  The first scan counts shingles: a bitmap of all shingles of the
+benchmark (at most MOST_BITS) keeps those that may be in it, their counts are
+combined before the shuffle and joined with the exact shingles.  In the second
+scan the benchmark travels to the documents: it is cut
 into blocks of a bounded number of bytes by hash of the item, each block is
 broadcast by itself and the documents stream past one block after the other in
-the same stage, so neither the driver nor a worker ever holds more than
+the same stage, so the driver never holds more than
 `block_bytes` of benchmark text, however large the benchmark is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -28,18 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import NOT_ALNUM, Texts, Words, chunks, covered
-from .scratch import small_batches
+from .scratch import cut, small_batches
 
 BLOCK_BYTES = 8 << 20
 _SLOTS = 1 << 20
+#: Bits of the bitmap of the benchmark's shingles, at least and at most; a full one only lets more shingles through to the join.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
 
 @dataclass
 class _Block:
     """Windows of some items: `key` and `size` in words, their text, their items, and their prefix shingles."""
 
-    grams: np.ndarray  # of all windows, sorted
-    seen: np.ndarray  # slots that any of them falls into
+    seen: np.ndarray  # slots that the prefix shingles fall into
     size: np.ndarray
     key: np.ndarray
     text: list[bytes]
@@ -83,20 +89,24 @@ def _windows(items: list[tuple[int, str]], window: int):
     return by_text
 
 
-def _block(items, window: int, counts: dict[int, int] | None) -> _Block:
-    by_text = _windows(items, window)
+def _shingles(by_text) -> tuple[np.ndarray, list[int]]:
+    """All shingles of the windows, sorted, and their lengths in words."""
+    grams = [np.zeros(0, np.uint64), *(found[2] for found in by_text.values())]
+    return np.unique(np.concatenate(grams)), sorted({min(3, found[0]) for found in by_text.values()})
+
+
+def _block(by_text, counts: dict[int, int]) -> _Block:
     text = list(by_text)
     found = [by_text[t] for t in text]
     shingle, offset = [], []
     for _, _, grams, _ in found:
-        rank = [(counts.get(int(g), 0) if counts else 0, int(g)) for g in grams]
+        rank = [(counts.get(int(g), 0), int(g)) for g in grams]
         k = rank.index(min(rank))
         shingle.append(grams[k])
         offset.append(k)
     shingle = np.array(shingle, dtype=np.uint64)
     order = np.argsort(shingle, kind="stable")
-    grams = np.unique(np.concatenate([f[2] for f in found])) if found else np.zeros(0, np.uint64)
-    return _Block(grams, _slots(shingle if counts is not None else grams), np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.uint64), text, [f[3] for f in found], shingle[order], np.array(offset, np.int64)[order], order)
+    return _Block(_slots(shingle), np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.uint64), text, [f[3] for f in found], shingle[order], np.array(offset, np.int64)[order], order)
 
 
 def _lengths(block: _Block) -> list[int]:
@@ -104,25 +114,41 @@ def _lengths(block: _Block) -> list[int]:
     return sorted({min(3, int(s)) for s in np.unique(block.size)})
 
 
-def _count(block: _Block):
-    """Occurrences of the block's shingles in the documents."""
+def _bit(values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of the bitmap that each value falls into."""
+    slot = values & np.uint64(8 * len(bits) - 1)
+    return (slot >> np.uint64(3)).astype(np.int64), np.left_shift(1, (slot & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+
+
+def _count(shared):
+    """Occurrences in the documents of shingles that may be the benchmark's, batch by batch."""
     schema = pa.schema([("g", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(len(block.grams), dtype=np.int64)
+        bits, lengths = shared.value
         for batch in batches:
+            found = [np.zeros(0, np.uint64)]
             for texts in chunks(batch.column(0)):
                 words = Words(texts, NOT_ALNUM, fold=True)
-                for q in _lengths(block):
+                for q in lengths:
                     grams = words.span(words.window_starts(q), q)
-                    hits = grams[_known(grams, block.grams, block.seen)]
-                    total += np.bincount(np.searchsorted(block.grams, hits), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.grams[some].view(np.int64)), pa.array(total[some])], schema=schema)
+                    byte, bit = _bit(grams, bits)
+                    found.append(grams[bits[byte] & bit != 0])
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
     return run
 
 
+def _dealt(items: DataFrame, blocks: int, window: int):
+    """The windows of the items of each block, one block at a time."""
+    rows = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).orderBy("block", "item", "text")
+    for _, some in itertools.groupby(rows.toLocalIterator(), key=lambda r: r["block"]):
+        by_text = _windows([(r["item"], r["text"]) for r in some], window)
+        if by_text:
+            yield by_text
+
+
 def _occurrences(words: Words, block: _Block) -> tuple[np.ndarray, np.ndarray]:
     """Word index and window of each occurrence."""
     starts, windows = [], []
@@ -231,22 +257,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     small_batches(docs)
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(total / block_bytes))
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if with_rows else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*rest).alias("rest")] if rest else []), F.array().cast("array<long>").alias("hits"), F.array().cast("array<long>").alias("items"))
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = [(r["item"], r["text"]) for r in some.orderBy("item", "text").toLocalIterator()]
-        plain = _block(found, window, None)
-        if not len(plain.grams):
-            continue
-        counted = texts.mapInArrow(_count(plain), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        counts = {r["g"] % (1 << 64): r["n"] for r in counted.toLocalIterator()}
-        shared = spark.sparkContext.broadcast(_block(found, window, counts))
-        rows = rows.mapInArrow(lambda batches, shared=shared: _pass(shared.value)(batches), rows.schema)
+    bits, lengths = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (4 * total).bit_length())) // 8, np.uint8), set()
+    for by_text in _dealt(items, blocks, window):
+        grams, used = _shingles(by_text)
+        np.bitwise_or.at(bits, *_bit(grams, bits))
+        lengths.update(used)
+    if lengths:
+        shared = spark.sparkContext.broadcast((bits, sorted(lengths)))
+        counted = cut(texts.mapInArrow(_count(shared), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+        for by_text in _dealt(items, blocks, window):
+            exact = spark.createDataFrame(pa.table({"g": _shingles(by_text)[0].view(np.int64)}))
+            counts = {r["g"] % (1 << 64): r["n"] for r in counted.join(F.broadcast(exact), "g").toLocalIterator()}
+            shared = spark.sparkContext.broadcast(_block(by_text, counts))
+            rows = rows.mapInArrow(lambda batches, shared=shared: _pass(shared.value)(batches), rows.schema)
     schema = T.StructType([rows.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("items", T.ArrayType(T.LongType()))
     for name in ("text", "rest") if with_rows else ():
         schema = schema.add(rows.schema[name])

@@ -113,3 +113,17 @@ def test_empty_tables(spark):
     assert [tuple(r)[:4] for r in decontaminate(some, items).collect()] == [(1, 3, 0, 0)]
     kept = decontaminate(some.selectExpr("doc_id", "text", "7 as rest", "8 as hits"), items, with_rows=True).first()
     assert kept["text"] == "a b c" and kept["rest"].asDict() == {"doc_id": 1, "rest": 7, "hits": 8}
+
+
+def test_decontaminate_reads_documents_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+    docs = frame(spark, [(i, f"{PASSAGE} number {i}") for i in range(40)])
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)] + [(99, PASSAGE)]
+    got = decontaminate(docs.mapInArrow(seen, docs.schema), spark.createDataFrame(items, "item_id long, text string"), block_bytes=200).collect()
+    assert all(r.contaminated and r.items == [99] for r in got) and read.value == 80
