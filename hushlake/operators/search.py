@@ -365,14 +365,23 @@ class Sealed:
         done = exhausted or position is None
         return Page(items, None if done else seal_cursor(self.ring, r, scope_id, digest, position))
 
-    def search(self, match: dict[str, tuple[SealedTable, Callable[[Match], Node] | None]], query: Callable[[SearchParts], DataFrame], *, scope: str | None = None, keyset: list[str] | None = None, limit: int | None = None, cursor: str | None = None) -> Page:
+    def search(self, match: dict[str, tuple[SealedTable, Callable[[Match], Node] | None]], query: Callable[[SearchParts], DataFrame], *, scope: str | None = None, keyset: list[str] | None = None, columns: dict[str, list[str]] | None = None, limit: int | None = None, cursor: str | None = None, budgets: Budgets | None = None, cancelled: Callable[[], bool] | None = None) -> Page:
         """A caller's own join over several sealed tables.
 
         query gets each table reduced to its matching rows (opened, so that a join that repeats
         rows does not open them again) and returns the joined frame; keyset names columns of it that
-        identify a result row, in ascending order, and pages go by them.
+        identify a result row, in ascending order, and pages go by them.  columns gives, for a table, the
+        sealed fields that it needs; the others are neither opened nor there.
+
+        Past the deadline it is LIMIT_EXCEEDED. A page that runs into result_bytes ends early, and without a keyset to
+        go on by it is LIMIT_EXCEEDED too; batch is the number of rows fetched at a time, by the keyset. Sealed
+        bytes can't be told once a join has repeated or dropped rows, so budgets of them are refused.
         """
+        budgets, columns = budgets or Budgets(), columns or {}
         ensure(match and (keyset is not None or cursor is None))
+        ensure(limit is None or isinstance(limit, int) and not isinstance(limit, bool) and limit > 0)
+        ensure(budgets.fetch_bytes is None and budgets.decrypted_bytes is None and (budgets.batch is None or bool(keyset)))
+        ensure(set(columns) <= set(match) and all(set(names) <= set(match[k][0].registration.fields) for k, names in columns.items()))
         scoped = {t.registration.scope is not None for t, _ in match.values()}
         ensure(len(scoped) == 1 and len({t.registration.model for t, _ in match.values()}) == len(match))
         first = next(iter(match.values()))[0].registration
@@ -381,23 +390,45 @@ class Sealed:
         digest = query_digest({"scope": scope_id, "match": nodes, "keyset": keyset, "models": [t.registration.model for t, _ in match.values()]})
         orders = [Order(k) for k in keyset or []]
         position = None if cursor is None else open_cursor(self.ring, first, scope_id, digest, cursor)
-
-        def finish(frame: DataFrame) -> DataFrame:
-            types = dict(frame.dtypes)
-            ensure(all(k in types for k in keyset or []), "INVALID_CANDIDATE_SHAPE")
-            out = frame if position is None else frame.where(self.after(orders, types, position))
-            out = out.orderBy(*self.sort_columns(orders)) if orders else out
-            return out if limit is None else out.limit(limit)
-
-        tables = {k: self.open(self.where(t, m, scope=scope), t.registration) for k, (t, m) in match.items()}
-        frame = finish(query(SearchParts(tables, keyset or [], finish, limit)))
-        types = dict(frame.dtypes)
-        rows = _action(frame.select("*", *self._position_columns(orders, types)).collect)
-        items, sorts = [], []
-        for row in rows:
-            data = row.asDict()
-            sorts.append([data.pop(f"__hl_sort_{i}") for i in range(len(orders))])
-            items.append({k: v for k, v in data.items() if not k.startswith("__hl_")})
-        ensure(not orders or all(a != b for a, b in zip(sorts, sorts[1:], strict=False)), "INVALID_CANDIDATE_SHAPE")
-        more = limit is not None and len(items) == limit and orders
-        return Page(items, seal_cursor(self.ring, first, scope_id, digest, sorts[-1]) if more else None)
+        end = None if budgets.deadline_ms is None else time.monotonic() + budgets.deadline_ms / 1000
+        tables = {k: self._opened(t, m, scope, columns.get(k)) for k, (t, m) in match.items()}
+        items: list[dict] = []
+        result_bytes, limited, more = 0, False, True
+        while more and not limited:
+            ask = min((n for n in (None if limit is None else limit - len(items), budgets.batch) if n is not None), default=None)
+
+            def finish(frame: DataFrame, position=position, ask=ask) -> DataFrame:
+                types = dict(frame.dtypes)
+                ensure(all(k in types for k in keyset or []), "INVALID_CANDIDATE_SHAPE")
+                out = frame if position is None else frame.where(self.after(orders, types, position))
+                out = out.orderBy(*self.sort_columns(orders)) if orders else out
+                return out if ask is None else out.limit(ask)
+
+            frame = finish(query(SearchParts(tables, keyset or [], finish, ask)))
+            frame = frame.select("*", *self._position_columns(orders, dict(frame.dtypes)))
+            own = Budgets(deadline_ms=None if end is None else max(1, int((end - time.monotonic()) * 1000)))
+            found = self._within(frame, frame.collect, own, cancelled)
+            for row in found:
+                ensure(not (cancelled and cancelled()), "CANCELLED")
+                data = row.asDict()
+                sort = [data.pop(f"__hl_sort_{i}") for i in range(len(orders))]
+                ensure(not orders or sort != position, "INVALID_CANDIDATE_SHAPE")
+                data = {k: v for k, v in data.items() if not k.startswith("__hl_")}
+                if budgets.result_bytes:
+                    result_bytes += len(canonical({k: bytes(v) if isinstance(v, bytearray) else v for k, v in data.items()}))
+                    limited = result_bytes > budgets.result_bytes
+                    if limited:
+                        break
+                items.append(data)
+                position = sort
+            more = ask is not None and len(found) == ask and bool(orders)
+            if limit is not None and len(items) >= limit:
+                break
+        ensure(not limited or items and orders, "LIMIT_EXCEEDED")
+        return Page(items, seal_cursor(self.ring, first, scope_id, digest, position) if limited or more else None)
+
+    def _opened(self, table: SealedTable, match, scope: str | None, names: list[str] | None) -> DataFrame:
+        """The matching rows with these of their fields opened, all by default; the rest of the sealed columns are left out."""
+        rows, r = self.where(table, match, scope=scope), table.registration
+        left_out = [] if names is None else [r.column(n) for n in r.fields if n not in names]
+        return self.open(rows.drop(*left_out), r)

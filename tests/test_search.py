@@ -225,6 +225,28 @@ def test_search_over_a_callers_join(spark, people, tmp_path):
     assert code_of(lambda: ENGINE.search(match, join, scope="a", keyset=["body"], limit=40)) == "INVALID_CANDIDATE_SHAPE"
     assert code_of(lambda: ENGINE.search({"p": match["p"], "q": match["p"]}, join, scope="a")) == "INVALID_VALUE"
 
+    def by(**options):
+        return ENGINE.search(match, join, scope="a", keyset=["who", "nid"], **options)
+
+    whole = by().items
+    assert by(budgets=Budgets(batch=3)).items == whole and by(limit=5, budgets=Budgets(batch=3)).items == whole[:5]
+    items, cursor, pages = [], None, 0
+    while pages == 0 or cursor:
+        page = by(cursor=cursor, budgets=Budgets(result_bytes=300))
+        items, cursor, pages = items + page.items, page.next_cursor, pages + 1
+    assert items == whole and pages > 1
+    assert code_of(lambda: by(budgets=Budgets(result_bytes=1))) == "LIMIT_EXCEEDED"
+    assert code_of(lambda: ENGINE.search(match, join, scope="a", budgets=Budgets(result_bytes=300))) == "LIMIT_EXCEEDED"
+    assert code_of(lambda: by(budgets=Budgets(deadline_ms=1))) == "LIMIT_EXCEEDED"
+    assert code_of(lambda: by(cancelled=lambda: True)) == "CANCELLED"
+    assert code_of(lambda: by(budgets=Budgets(fetch_bytes=10))) == "INVALID_VALUE"
+    assert code_of(lambda: by(columns={"p": ["nope"]})) == "INVALID_VALUE"
+    assert code_of(lambda: by(limit=0)) == "INVALID_VALUE"
+    seen = []
+    ENGINE.search(match, lambda parts: (seen.append(parts.tables["p"].columns), join(parts))[1], scope="a", keyset=["who", "nid"], columns={"p": ["name"]}, limit=1)
+    fields = set(match["p"][0].registration.fields)
+    assert fields & set(seen[0]) == {"name"}
+
 
 def test_plans_are_what_they_should_be(people):
     t, _ = people
