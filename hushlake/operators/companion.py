@@ -55,6 +55,20 @@ def proof_key_col(keys: ProfileKeys, scope: Column, piece: Column) -> Column:
     return hmac_col(keys.proof, framed_col([], [scope.cast("binary"), piece]), 256)
 
 
+def build_postings(companion: DataFrame, registration: Registration) -> DataFrame | None:
+    """(token, row_id) for every candidate token of a written companion, in ranges of the token; None if no profile has tokens.
+
+    Ranges go by row as well, so a token that many rows have is spread over several tasks and files.
+    Tokens are bound to their profile and scope, so that neither needs a column.
+    """
+    none = F.array().cast("array<long>")
+    tokens = [F.array(c) if p.mode == EXACT else F.coalesce(c, none) for _, p in registration.profiles if not p.hardened for c in [F.col(f"tokens_{p.tag}")]]
+    if not tokens:
+        return None
+    rows = companion.select(F.explode(F.concat(*tokens)).alias("token"), "row_id").where("token is not null")
+    return rows.repartitionByRange("token", "row_id").sortWithinPartitions("token", "row_id")
+
+
 def build_companion(rows: DataFrame, registration: Registration, ring: Keyring) -> DataFrame:
     """scope_id, row_id and the index columns of each row of plain values.
 

@@ -6,6 +6,7 @@ import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,12 @@ from ..plans.predicate import Compiler, Match, Node, fingerprint, secure, valida
 from .companion import build_companion
 
 SAFE_COUNT = 2**53 - 1
+#: Candidates that a look-up may give; beyond that a scan is the better plan.
+LOOKUP_ROWS = 256
+#: Bytes of a companion from which a look-up is worth its job.
+LOOKUP_BYTES = 256 << 20
+#: Tokens that a look-up may ask for.
+LOOKUP_TOKENS = 24
 #: Types that rows may be ordered and paged by.
 _ORDERED = ("tinyint", "smallint", "int", "bigint", "decimal", "string", "date", "timestamp", "timestamp_ntz", "boolean")
 
@@ -55,11 +62,12 @@ class Order:
 
 @dataclass(frozen=True)
 class SealedTable:
-    """A registration with its parent and its companion."""
+    """A registration with its parent, its companion and, where they are kept, the postings of the companion's tokens."""
 
     registration: Registration
     parent: DataFrame
     companion: DataFrame
+    postings: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -82,10 +90,10 @@ def _action(run):
 
 
 class Sealed:
-    """The engine for one key ring."""
+    """The engine for one key ring; companions of fewer than lookup_bytes are scanned, whatever index there is."""
 
-    def __init__(self, ring: Keyring):
-        self.ring = ring
+    def __init__(self, ring: Keyring, *, lookup_bytes: int = LOOKUP_BYTES):
+        self.ring, self.lookup_bytes = ring, lookup_bytes
         self._ciphers: dict[tuple, FieldCipher] = {}
         self._tables: dict[tuple, DataFrame] = {}
 
@@ -204,6 +212,39 @@ class Sealed:
             return table.companion.where(F.col("scope_id") == scope)
         return table.parent.where(F.col(r.scope) == scope) if r.scope else table.parent
 
+    def _candidates(self, table: SealedTable, node: Node | None, scope_id: str) -> list[str] | None:
+        """Row ids that hold all matches, where the postings of some token of each clause are few; None where a scan is the better plan.
+
+        One job over the row groups that the tokens fall into, of at most LOOKUP_ROWS + 1 rows a token. The
+        literal ids reach the scans of companion and parent, so pruning goes by them too; for
+        that the session's limit of values pushed to Parquet is raised to LOOKUP_ROWS.
+        """
+        clauses = Compiler(table.registration, self.ring, scope_id).clauses(node) if node is not None and table.postings is not None else None
+        if not clauses or len(set().union(*clauses)) > LOOKUP_TOKENS:
+            return None
+        if int(table.companion._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < self.lookup_bytes:
+            return None
+        tokens = sorted(set().union(*clauses))
+        few = [table.postings.where(F.col("token") == t).limit(LOOKUP_ROWS + 1) for t in tokens]
+        rows = _action(reduce(DataFrame.unionAll, few).collect)
+        ids = {t: [r.row_id for r in rows if r.token == t] for t in tokens}
+        rarest = [min((ids[t] for t in clause), key=len) for clause in clauses]
+        found = sorted({i for part in rarest for i in part})
+        if len(found) > LOOKUP_ROWS or any(len(part) > LOOKUP_ROWS for part in rarest):
+            return None
+        conf, most = table.companion.sparkSession.conf, "spark.sql.parquet.pushdown.inFilterThreshold"
+        if int(conf.get(most)) < LOOKUP_ROWS:
+            conf.set(most, str(LOOKUP_ROWS))
+        return found
+
+    def _narrowed(self, table: SealedTable, node: Node | None, scope_id: str) -> SealedTable:
+        """The table without the rows that the postings rule out."""
+        found = self._candidates(table, node, scope_id)
+        if found is None:
+            return table
+        among = lambda rows, c: rows.where(F.col(c).isin(found) if found else F.lit(False))
+        return SealedTable(table.registration, among(table.parent, table.registration.row), among(table.companion, "row_id"))
+
     def where(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, scope: str | None = None, where: Column | None = None) -> DataFrame:
         """The parent's rows that match, sealed as they are.
 
@@ -212,6 +253,7 @@ class Sealed:
         """
         r = table.registration
         scope_id, node = r.scope_value(scope), self._node(r, match)
+        table = self._narrowed(table, node, scope_id)
         parent = self._scoped(table, scope_id, "parent")
         if where is not None:
             parent = parent.where(where)
@@ -234,6 +276,7 @@ class Sealed:
         node = self._node(r, match)
         if node is not None and where is None and secure(node):
             scope_id = r.scope_value(scope)
+            table = self._narrowed(table, node, scope_id)
             rows = self._scoped(table, scope_id, "companion").where(Compiler(r, self.ring, scope_id).column(node))
         else:
             rows = self.where(table, match, scope=scope, where=where)

@@ -237,13 +237,31 @@ class Compiler:
     def _col(self, name: str) -> str:
         return f"`{self.prefix}{name}`"
 
-    def _exact(self, leaf: Leaf) -> str:
+    def _exact_raw(self, leaf: Leaf) -> bytes:
         p, spec = self.registration.profile(leaf.field, EXACT), self.registration.fields[leaf.field]
         if spec.kind == "text":
             ensure(isinstance(leaf.value, str))
-            raw = exact_bytes(p, leaf.value)
-        else:
-            raw = codec.encode(spec.kind, leaf.value, spec.precision, spec.scale)
+            return exact_bytes(p, leaf.value)
+        return codec.encode(spec.kind, leaf.value, spec.precision, spec.scale)
+
+    def clauses(self, node: Node) -> list[set[int]] | None:
+        """Token sets by which postings find candidates: a matching row has all tokens of one of the sets. None where no index can help."""
+        if isinstance(node, Plain):
+            return None
+        if isinstance(node, Group):
+            parts = [self.clauses(c) for c in node.children]
+            if node.op == "or":
+                return None if None in parts else [c for p in parts for c in p]
+            single = [p[0] for p in parts if p is not None and len(p) == 1]
+            return [set().union(*single)] if single else min((p for p in parts if p is not None), key=len, default=None)
+        p = self.registration.profile(node.field, EXACT if node.op == "eq" else SUBSTRING)
+        if p.hardened:
+            return None
+        tokens = {ProfileKeys.of(self.ring, p).token_of(self.scope, self._exact_raw(node))} if node.op == "eq" else set(pick_tokens(self.tokens(node)))
+        return [tokens] if tokens else None
+
+    def _exact(self, leaf: Leaf) -> str:
+        p, raw = self.registration.profile(leaf.field, EXACT), self._exact_raw(leaf)
         keys = ProfileKeys.of(self.ring, p)
         proof = f"{self._col(f'eq_stamp_{p.tag}')} = {_stamp(keys.proof_of(self.scope, raw), self._col(f'eq_salt_{p.tag}'))}"
         return f"({proof})" if p.hardened else f"({self._col(f'tokens_{p.tag}')} = {_long(keys.token_of(self.scope, raw))} and {proof})"

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ensure, from_spark
+from ..operators.companion import build_postings
 from ..operators.search import Sealed, SealedTable
 from ..plans.model import UNSCOPED, Registration
 from . import files
 
 WRITER = 1
+POSTINGS = "_postings/tokens"
 #: Sealed bytes that a core is given before input is left in its own partitions.
 FILE_BYTES = 64 << 20
 
@@ -37,8 +39,10 @@ class Receipt:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, registration: Registration, sealed: Sealed):
-        self.spark, self.path, self.registration, self.sealed = spark, path.rstrip("/"), registration, sealed
+    """Where a registration's rows are kept; with postings, selective searches look rows up instead of scanning the companion."""
+
+    def __init__(self, spark: SparkSession, path: str, registration: Registration, sealed: Sealed, *, postings: bool = True):
+        self.spark, self.path, self.registration, self.sealed, self.postings = spark, path.rstrip("/"), registration, sealed, postings
 
     # Manifests -----------------------------------------------------------------
 
@@ -56,6 +60,7 @@ class Store:
 
     def _commit(self, old: dict, **changes) -> dict:
         new = {**old, **changes, "version": old["version"] + 1}
+        new["postings"] = [name for name, _ in new["companion"] if name in new.get("postings", [])]
         files.create(self.spark, f"{self.path}/manifest-{new['version']:010d}.json", json.dumps(new))
         return new
 
@@ -72,6 +77,19 @@ class Store:
             raise from_spark(e) from e
         return name
 
+    def _write_index(self, m: dict, rows: DataFrame) -> tuple[str, list]:
+        """A part of the companion, and the names of the parts that hold postings, with this one.
+
+        Postings lie in a folder of their part that scans of it pass over. They only propose
+        rows, so those of rows that were replaced or deleted since do no harm until compact() drops them.
+        """
+        index, postings = self._write(rows, "index"), m.get("postings", [])
+        found = build_postings(self.spark.read.parquet(f"{self.path}/{index}"), self.registration) if self.postings else None
+        if found is not None:
+            found.write.parquet(f"{self.path}/{index}/{POSTINGS}")
+            postings = [*postings, index]
+        return index, postings
+
     # Reading -------------------------------------------------------------------
 
     def _parent_schema(self) -> str:
@@ -113,7 +131,11 @@ class Store:
     def _table(self, m: dict) -> SealedTable:
         schema = ", ".join(f"`{c}` {t}" for c, t in self.registration.companion_schema().items())
         parent = self._union(m["parent"], m["gone"], self.registration.keys, self._parent_schema())
-        return SealedTable(self.registration, parent, self._union(m["companion"], m["gone_index"], ["scope_id", "row_id"], schema))
+        names = [name for name, _ in m["companion"]]
+        # only whole: a part without postings would be missed
+        whole = names and set(names) <= set(m.get("postings", []))
+        postings = self.spark.read.schema("token long, row_id string").parquet(*(f"{self.path}/{n}/{POSTINGS}" for n in names)) if whole else None
+        return SealedTable(self.registration, parent, self._union(m["companion"], m["gone_index"], ["scope_id", "row_id"], schema), postings)
 
     def _index_keys(self, rows: DataFrame) -> DataFrame:
         r = self.registration
@@ -144,8 +166,8 @@ class Store:
         parent = self._write(self._spread(self.sealed.seal_parent(rows, r)).sortWithinPartitions(*r.keys), "parent")
         written = self.spark.read.parquet(f"{self.path}/{parent}")
         plain = self.sealed.open(written, r)
-        index = self._write(self.sealed.companion_of(plain, r).sortWithinPartitions("scope_id", "row_id"), "index") if r.profiles else None
-        return {"parent": [*m["parent"], [parent, seq]], "companion": [*m["companion"], *([[index, seq]] if index else [])], "written": written}
+        index, postings = self._write_index(m, self.sealed.companion_of(plain, r).sortWithinPartitions("scope_id", "row_id")) if r.profiles else (None, m.get("postings", []))
+        return {"parent": [*m["parent"], [parent, seq]], "companion": [*m["companion"], *([[index, seq]] if index else [])], "postings": postings, "written": written}
 
     def _spread(self, sealed: DataFrame) -> DataFrame:
         """Small input over all cores, so that later scans use them; large input keeps the partitions it comes in."""
@@ -217,8 +239,8 @@ class Store:
             live = some[0]
             for x in some[1:]:
                 live = live | x
-            index = self._write(merged.where(live), "index")
-            changes |= {"companion": [*m["companion"], [index, seq]], "gone_index": [*m["gone_index"], [self._write(ids, "gone"), seq]]}
+            index, postings = self._write_index(m, merged.where(live))
+            changes |= {"postings": postings, "companion": [*m["companion"], [index, seq]], "gone_index": [*m["gone_index"], [self._write(ids, "gone"), seq]]}
         return {**m, **changes}, n
 
     def upsert(self, rows: DataFrame) -> tuple[int, int]:
@@ -258,12 +280,12 @@ class Store:
         r, m = self.registration, self._manifest()
         table, seq = self._table(m), m["version"] + 1
         parent = table.parent if scope is None else table.parent.where(F.col(r.scope) == r.scope_value(scope))
-        index = self._write(self.sealed.companion_of(self.sealed.open(parent, r), r).sortWithinPartitions("scope_id", "row_id"), "index")
+        index, postings = self._write_index(m, self.sealed.companion_of(self.sealed.open(parent, r), r).sortWithinPartitions("scope_id", "row_id"))
         if scope is None:
-            self._commit(m, companion=[[index, seq]], gone_index=[])
+            self._commit(m, companion=[[index, seq]], postings=postings, gone_index=[])
         else:
             gone = self._write(table.companion.where(F.col("scope_id") == scope).select("scope_id", "row_id"), "gone")
-            self._commit(m, companion=[*m["companion"], [index, seq]], gone_index=[*m["gone_index"], [gone, seq]])
+            self._commit(m, companion=[*m["companion"], [index, seq]], postings=postings, gone_index=[*m["gone_index"], [gone, seq]])
         return parent.count()
 
     def compact(self) -> None:
@@ -271,8 +293,8 @@ class Store:
         m = self._manifest()
         table, seq = self._table(m), m["version"] + 1
         parent = self._write(table.parent.sortWithinPartitions(*self.registration.keys), "parent")
-        index = self._write(table.companion.sortWithinPartitions("scope_id", "row_id"), "index")
-        self._commit(m, parent=[[parent, seq]], companion=[[index, seq]], gone=[], gone_index=[])
+        index, postings = self._write_index(m, table.companion.sortWithinPartitions("scope_id", "row_id"))
+        self._commit(m, parent=[[parent, seq]], companion=[[index, seq]], postings=postings, gone=[], gone_index=[])
 
     def vacuum(self, *, keep: int = 10, older_s: float = 86_400) -> int:
         """Remove all but the newest versions, and files that none of these names; files younger than older_s may belong to a writer and stay. Returns how many names went."""

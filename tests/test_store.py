@@ -5,6 +5,7 @@ from hushlake.errors import SealError
 from hushlake.functions.keys import Keyring
 from hushlake.operators.search import Sealed
 from hushlake.plans import model as s
+from hushlake.plans.predicate import Compiler, Match
 from hushlake.plans.tokens import ProfileKeys
 from hushlake.sources import files
 from hushlake.sources.store import Store, prepare_all
@@ -195,3 +196,82 @@ def test_stream_is_sealed_once(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "in")).where("id = '0'")
     assert store.insert(again, batch=store._manifest()["batches"][0]) is None
     assert ENGINE.count(store.table()) == 30
+
+
+LOOKS_UP = Sealed(Keyring(bytes(range(32))), lookup_bytes=0)
+MATCHES = [
+    lambda m: m.body.contains("number 1"),
+    lambda m: m.body.eq("memo number 4"),
+    lambda m: m.n.eq(6),
+    lambda m: m.or_(m.n.eq(2), m.body.ends_with("number 10")),
+    lambda m: m.and_(m.body.starts_with("memo"), m.n.eq(8)),
+    lambda m: m.and_(m.body.like("%num%12"), m.sql(F.col("label") == "l12")),
+    lambda m: m.or_(m.n.eq(2), m.sql(F.col("label") == "l4")),
+    lambda m: m.body.contains("zebra"),
+    lambda m: m.body.contains("changed"),
+]
+
+
+def test_look_ups_find_what_scans_find(spark, store):
+    def same():
+        t = store.table()
+        assert t.postings is not None
+        for match in MATCHES:
+            want = sorted(r.id for r in ENGINE.where(t, match, scope="a").select("id").collect())
+            assert sorted(r.id for r in LOOKS_UP.where(t, match, scope="a").select("id").collect()) == want
+            assert LOOKS_UP.count(t, match, scope="a") == len(want)
+            assert [i["id"] for i in LOOKS_UP.find_many(t, match, scope="a", columns=["body"]).items] == want
+
+    same()
+    t = store.table()
+    found = lambda i: LOOKS_UP._candidates(t, MATCHES[i](Match(REG)), "a")
+    assert found(2) == ["r6"] and found(4) == ["r8"] and found(6) is None and found(7) == []
+    store.update(spark.createDataFrame([("r2", "a", "changed text")], "id string, tenant string, body string"))
+    same()
+    store.upsert(spark.createDataFrame([("r4", "a", "changed too", 6, "{}", "l4"), ("r90", "a", "memo number 10", 2, "{}", "l90")], SCHEMA))
+    same()
+    store.delete(rows=spark.createDataFrame([("r6", "a")], "id string, tenant string"))
+    same()
+    store.reindex("a")
+    same()
+    store.compact()
+    same()
+    store.vacuum(keep=1, older_s=0)
+    same()
+
+
+def test_parts_without_postings_are_scanned(spark, tmp_path):
+    old = Store(spark, str(tmp_path / "memo"), REG, LOOKS_UP, postings=False)
+    old.insert(spark.createDataFrame([("r1", "a", "memo one", 1, "{}", "l")], SCHEMA))
+    new = Store(spark, old.path, REG, LOOKS_UP)
+    new.insert(spark.createDataFrame([("r2", "a", "memo two", 1, "{}", "l")], SCHEMA))
+    assert new.table().postings is None and LOOKS_UP.count(new.table(), lambda m: m.n.eq(1), scope="a") == 2
+    new.reindex()
+    assert new.table().postings is not None and LOOKS_UP.count(new.table(), lambda m: m.n.eq(1), scope="a") == 2
+
+
+def test_look_ups_read_little_and_leave_common_terms_to_a_scan(spark, tmp_path):
+    reg = s.Registration("ticket", "id", {"n": s.integer(search={"exact": True}), "kind": s.integer(search={"exact": True})})
+    block = spark.sparkContext._jsc.hadoopConfiguration()
+    block.set("parquet.block.size", "65536")
+    try:
+        store = Store(spark, str(tmp_path / "ticket"), reg, LOOKS_UP)
+        store.insert(spark.range(40_000).selectExpr("lpad(id, 8, '0') as id", "id as n", "id % 2 as kind"))
+    finally:
+        block.unset("parquet.block.size")
+    t = store.table()
+
+    def read(frame):
+        frame.collect()
+        return frame._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    rare = Match(reg).n.eq(31_234)
+    narrow = LOOKS_UP._narrowed(t, rare, reg.scope_value(None))
+    token = next(iter(Compiler(reg, LOOKS_UP.ring, reg.scope_value(None)).clauses(rare)[0]))
+    assert read(t.companion) == 40_000 and t.postings.count() == 80_000
+    assert 0 < read(narrow.companion) < 2_000 and 0 < read(narrow.parent) < 2_000
+    assert 0 < read(t.postings.where(F.col("token") == token)) < 4_000
+    assert LOOKS_UP._candidates(t, Match(reg).kind.eq(1), reg.scope_value(None)) is None
+    assert LOOKS_UP.count(t, lambda m: m.kind.eq(1)) == 20_000 and LOOKS_UP.count(t, lambda m: m.n.eq(31_234)) == 1
+    # a frequent term goes by a rare one that must hold too
+    assert LOOKS_UP._candidates(t, Match(reg).and_(Match(reg).kind.eq(0), rare), reg.scope_value(None)) == ["00031234"]
