@@ -68,8 +68,8 @@ class Store:
     def version(self) -> int:
         return self._manifest()["version"]
 
-    def _write(self, rows: DataFrame, kind: str) -> str:
-        name = f"{kind}-{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, kind: str, name: str | None = None) -> str:
+        name = name or f"{kind}-{uuid.uuid4().hex}"
         try:
             rows.write.parquet(f"{self.path}/{name}")
         except Exception as e:
@@ -86,7 +86,7 @@ class Store:
         index, postings = self._write(rows, "index"), m.get("postings", [])
         found = build_postings(self.spark.read.parquet(f"{self.path}/{index}"), self.registration) if self.postings else None
         if found is not None:
-            found.write.parquet(f"{self.path}/{index}/{POSTINGS}")
+            self._write(found, "postings", f"{index}/{POSTINGS}")
             postings = [*postings, index]
         return index, postings
 
