@@ -44,9 +44,12 @@ def salt_col() -> Column:
 
 def shard_col(row_id: Column) -> Column:
     """Low byte of the 32-bit FNV-1a hash of the id; only low bytes carry into it."""
-    octets = F.transform(F.sequence(F.lit(1), F.octet_length(row_id)), lambda i: F.conv(F.hex(F.substring(row_id.cast("binary"), i, 1)), 16, 10).cast("int"))
-    octets = F.when(F.octet_length(row_id) > 0, octets).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(octets, F.lit(0x811C9DC5 & 255), lambda h, b: h.bitwiseXOR(b) * F.lit(0x01000193 & 255) % 256)
+    step = lambda octet: lambda h, i: h.bitwiseXOR(octet(i)) * F.lit(0x01000193 & 255) % 256
+    fold = lambda octet: F.aggregate(F.sequence(F.lit(1), F.octet_length(row_id)), F.lit(0x811C9DC5 & 255), step(octet))
+    # where characters are octets, their codes are the octets
+    plain = fold(lambda i: F.ascii(F.substring(row_id, i, 1)))
+    other = fold(lambda i: F.conv(F.hex(F.substring(row_id.cast("binary"), i, 1)), 16, 10).cast("int"))
+    return F.when(F.octet_length(row_id) == 0, F.lit(0x811C9DC5 & 255)).when(F.octet_length(row_id) == F.char_length(row_id), plain).otherwise(other)
 
 
 class FieldCipher:

@@ -24,8 +24,12 @@ from . import files
 
 WRITER = 1
 POSTINGS = "_postings/tokens"
-#: Sealed bytes that a core is given before input is left in its own partitions.
-FILE_BYTES = 64 << 20
+#: Bytes of rows, as they are read, that make a partition of a write; and that a core gets before it is given more than one.
+PART_BYTES, CORE_BYTES = 8 << 20, 1 << 20
+#: Bytes of a row group, at most: scans hold a group of each task in memory, and index rows of long texts are large.
+GROUP_BYTES = 16 << 20
+#: Partitions of a write, at most: sizes of joins are guesses, and can be absurd.
+MOST_PARTS = 2000
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,8 @@ class Store:
     def _write(self, rows: DataFrame, kind: str, name: str | None = None) -> str:
         name = name or f"{kind}-{uuid.uuid4().hex}"
         try:
-            rows.write.parquet(f"{self.path}/{name}")
+            group = self.spark.sparkContext._jsc.hadoopConfiguration().getLong("parquet.block.size", GROUP_BYTES)
+            rows.write.option("parquet.block.size", min(group, GROUP_BYTES)).parquet(f"{self.path}/{name}")
         except Exception as e:
             files.remove(self.spark, f"{self.path}/{name}")
             raise from_spark(e) from e
@@ -163,17 +168,17 @@ class Store:
     def _add(self, m: dict, rows: DataFrame) -> dict:
         """Parts of new rows: the companion is built from what was written and opens, not from the caller's rows."""
         r, seq = self.registration, m["version"] + 1
-        parent = self._write(self._spread(self.sealed.seal_parent(rows, r)).sortWithinPartitions(*r.keys), "parent")
+        parent = self._write(self.sealed.seal_parent(self._spread(rows), r).sortWithinPartitions(*r.keys), "parent")
         written = self.spark.read.parquet(f"{self.path}/{parent}")
         plain = self.sealed.open(written, r)
         index, postings = self._write_index(m, self.sealed.companion_of(plain, r).sortWithinPartitions("scope_id", "row_id")) if r.profiles else (None, m.get("postings", []))
         return {"parent": [*m["parent"], [parent, seq]], "companion": [*m["companion"], *([[index, seq]] if index else [])], "postings": postings, "written": written}
 
-    def _spread(self, sealed: DataFrame) -> DataFrame:
-        """Small input over all cores, so that later scans use them; large input keeps the partitions it comes in."""
-        size = int(sealed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """The rows over all cores, whatever partitions they come in: sealing and indexing take far longer than reading, and a file of one row group is one task."""
+        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         cores = self.spark.sparkContext.defaultParallelism
-        return sealed.repartition(cores, *self.registration.keys) if size < cores * FILE_BYTES else sealed
+        return rows.repartition(cores if size < cores * CORE_BYTES else max(3 * cores, min(-(-size // PART_BYTES), MOST_PARTS)), *self.registration.keys)
 
     def _inserted(self, m: dict, rows: DataFrame) -> tuple[dict, DataFrame]:
         """The manifest with new rows, not yet committed, and what was written."""

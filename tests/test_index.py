@@ -5,10 +5,15 @@ import random
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
+
+from hushlake.functions.keys import Keyring
 from hushlake.functions.normalize import compact, compact_all, normalize, normalize_all
 from hushlake.operators import companion
+from hushlake.operators.search import Sealed
 from hushlake.plans import model as s
 from hushlake.plans.tokens import ProfileKeys, TextIndex, ValueIndex, grams, pieces, stamp
+from hushlake.sources.store import Store
 
 KEYS = ProfileKeys(bytes(range(48)), bytes(range(32)), 16)
 random.seed(5)
@@ -67,3 +72,16 @@ def test_long_texts_are_indexed_in_bounded_parts():
     (small, _), (large, part) = peak(100), peak(400)
     # four times the rows of a batch take no more memory, and no more is handed on at once
     assert large < 1.3 * small and part < 40 * companion.SLICE_BYTES
+
+
+def test_one_partition_is_sealed_and_indexed_by_all_cores(spark, tmp_path):
+    r = s.Registration("t", "id", {"v": s.text(search={"exact": True, "substring": True})})
+    store = Store(spark, str(tmp_path / "t"), r, Sealed(Keyring(bytes(32))))
+    rows = spark.range(4000).selectExpr("cast(id as string) as id", "concat('value ', id) as v").coalesce(1)
+    store.insert(rows)
+    t = store.table()
+    cores = spark.sparkContext.defaultParallelism
+    for frame in (t.parent, t.companion):
+        sizes = [x["count"] for x in frame.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) >= cores and max(sizes) < 2 * 4000 / cores
+    assert store.sealed.count(t, lambda m: m.v.contains("399")) == sum("399" in f"value{i}" for i in range(4000))
