@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from ..functions.framing import canonical
 from ..functions.keys import Keyring
 from ..plans.cursor import open_cursor, query_digest, seal_cursor
 from ..plans.model import UNSCOPED, UUID_PATTERN, Registration
-from ..plans.predicate import Compiler, Match, Node, fingerprint, secure, validate
+from ..plans.predicate import Compiler, Group, Match, Node, Plain, fingerprint, secure, validate
 from .companion import build_companion
 
 SAFE_COUNT = 2**53 - 1
@@ -89,6 +90,16 @@ def _action(run):
         raise from_spark(e) from e
 
 
+def _without_secure(node: Node, trees: list[Node]) -> Node:
+    """The tree with columns __hl_0, __hl_1, ... for its purely encrypted parts, which are added to the list."""
+    if isinstance(node, Plain):
+        return node
+    if secure(node):
+        trees.append(node)
+        return Plain(F.col(f"__hl_{len(trees) - 1}"))
+    return Group(node.op, tuple(_without_secure(c, trees) for c in node.children))
+
+
 class Sealed:
     """The engine for one key ring; companions of fewer than lookup_bytes are scanned, whatever index there is."""
 
@@ -263,10 +274,13 @@ class Sealed:
         if found is not None:
             ids = self._scoped(table, scope_id, "companion").where(found).select(F.col("row_id").alias(r.row))
             return parent.join(ids, r.row, "left_semi")
-        names = [c for c in table.companion.columns if c not in ("scope_id", "row_id")]
-        index = self._scoped(table, scope_id, "companion").select(F.col("row_id").alias("__hl_row"), *(F.col(c).alias(f"__hl_{c}") for c in names))
+        # what is encrypted is decided on the companion: the join moves a Boolean for each such tree, not the index
+        trees: list[Node] = []
+        outer = _without_secure(node, trees)
+        compiler = Compiler(r, self.ring, scope_id)
+        index = self._scoped(table, scope_id, "companion").select(F.col("row_id").alias("__hl_row"), *(compiler.column(t).alias(f"__hl_{i}") for i, t in enumerate(trees)))
         joined = parent.join(index, F.col(r.row) == F.col("__hl_row"), "left")
-        return joined.where(Compiler(r, self.ring, scope_id, "__hl_").column(node)).select(*parent.columns)
+        return joined.where(compiler.column(outer)).select(*parent.columns)
 
     # Reading -------------------------------------------------------------------
 
@@ -408,6 +422,33 @@ class Sealed:
         done = exhausted or position is None
         return Page(items, None if done else seal_cursor(self.ring, r, scope_id, digest, position))
 
+    def all_pages(self, table: SealedTable, match: Callable[[Match], Node] | None = None, *, folder: str, limit: int, scope: str | None = None, where: Column | None = None, columns: list[str] | None = None, order_by=None) -> DataFrame:
+        """What find_many() gives page after page, with the number of its `page` (from 0) and its place `at` among all rows, as a DataFrame.
+
+        A chain of cursors searches the table once for each page, in time that grows with the square of the matches. This searches
+        and sorts once: the matching rows, still sealed, are written in order to the folder (which must be new), counted by file, and opened as they are read.
+        """
+        ensure(isinstance(limit, int) and not isinstance(limit, bool) and limit > 0)
+        r, spark = table.registration, table.parent.sparkSession
+        orders = self._orders(table, order_by)
+        names = {**{c: c for c in (*r.keys, *r.plain)}, **{n: r.column(n) for n in r.fields}}
+        ensure(all(c in names for c in columns or []))
+        chosen = list(dict.fromkeys([*r.keys, *(names if columns is None else columns)]))
+        sorts = [F.col(o.column).alias(f"__hl_order_{i}") for i, o in enumerate(orders)]
+        rows = self.where(table, match, scope=scope, where=where).select(*sorts, *(names[c] for c in chosen))
+        ordered = rows.orderBy(*self.sort_columns([Order(f"__hl_order_{i}", o.direction) for i, o in enumerate(orders)])).drop(*(f"__hl_order_{i}" for i in range(len(orders))))
+        # the number of the partition, then of the row in it
+        _action(lambda: ordered.withColumn("__hl_at", F.monotonically_increasing_id()).write.parquet(folder))
+        written = spark.read.parquet(folder)
+        part = F.shiftright("__hl_at", 33).alias("__hl_part")
+        counts = sorted(_action(written.groupBy(part).count().collect))
+        before = accumulate((n for _, n in counts), initial=0)
+        first = spark.createDataFrame([(p, n) for (p, _), n in zip(counts, before)], "__hl_part long, __hl_first long")
+        at = (F.col("__hl_first") + F.col("__hl_at").bitwiseAND((1 << 33) - 1)).alias("at")
+        placed = written.withColumn("__hl_part", part).join(F.broadcast(first), "__hl_part")
+        numbered = placed.select(at, *(names[c] for c in chosen)).select(F.floor(F.col("at") / limit).cast("long").alias("page"), "*")
+        return self.open(numbered, r)
+
     def search(self, match: dict[str, tuple[SealedTable, Callable[[Match], Node] | None]], query: Callable[[SearchParts], DataFrame], *, scope: str | None = None, keyset: list[str] | None = None, columns: dict[str, list[str]] | None = None, limit: int | None = None, cursor: str | None = None, budgets: Budgets | None = None, cancelled: Callable[[], bool] | None = None) -> Page:
         """A caller's own join over several sealed tables.
 

@@ -278,9 +278,10 @@ def _on_and_where(spark: SparkSession, sf_dir: str, customers: DataFrame) -> Dat
     r, urgent = orders.registration, lambda m: m.priority.contains("urgent")
     first = _engine.where(orders, urgent).select(F.col("id").alias("order_id"), F.col("customer").cast("string").alias("id"))
     on = customers.join(first, "id", "left").select(F.lit("on").alias("form"), "id", "order_id")
-    index = orders.companion.select(F.col("row_id").alias("order_id"), *(F.col(c).alias(f"x_{c}") for c in orders.companion.columns[2:]))
+    # decided on the companion, so that the join moves a Boolean and not the index
+    index = orders.companion.select(F.col("row_id").alias("order_id"), _engine.condition(r, urgent).alias("urgent"))
     every = orders.parent.select(F.col("id").alias("order_id"), F.col("customer").cast("string").alias("id"))
-    joined = customers.join(every, "id", "left").join(index, "order_id", "left").where(_engine.condition(r, urgent, prefix="x_"))
+    joined = customers.join(every, "id", "left").join(index, "order_id", "left").where("urgent")
     return on.unionByName(joined.select(F.lit("where").alias("form"), "id", "order_id"))
 
 
@@ -385,7 +386,8 @@ def _pages(spark: SparkSession, sf_dir: str, model: str, match, size: int, most:
     items, cursor = [], None
     for _ in itertools.count() if most is None else range(most):
         page = _engine.find_many(sealed_table(spark, sf_dir, model), match, limit=size, cursor=cursor, **options)
-        items, cursor = items + page.items, page.next_cursor
+        items.extend(page.items)
+        cursor = page.next_cursor
         if cursor is None:
             break
     return items
@@ -407,8 +409,9 @@ def page_desc_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority FROM orders WHERE contains({N('o_orderpriority')}, 'med')")
 def page_exhaust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages over all orders that match, until there is no next one."""
-    items = _pages(spark, sf_dir, "orders", lambda m: m.priority.contains("med"), 500, None, columns=["priority"], order_by=Order("day"))
-    return spark.createDataFrame([(i["id"], i["priority"]) for i in items], "id string, priority string")
+    folder = f"{_folder(spark)}/pages-{uuid.uuid4().hex[:12]}"
+    pages = _engine.all_pages(sealed_table(spark, sf_dir, "orders"), lambda m: m.priority.contains("med"), folder=folder, limit=500, columns=["priority"], order_by=Order("day"))
+    return pages.select("id", "priority")
 
 
 # Writing ------------------------------------------------------------------------

@@ -7,10 +7,11 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from hushlake import queries
 from hushlake.functions.keys import Keyring
 from hushlake.functions.normalize import compact, compact_all, normalize, normalize_all
 from hushlake.operators import companion
-from hushlake.operators.search import Sealed
+from hushlake.operators.search import Order, Sealed
 from hushlake.plans import model as s
 from hushlake.plans.tokens import ProfileKeys, TextIndex, ValueIndex, grams, pieces, stamp
 from hushlake.sources.store import Store
@@ -85,3 +86,25 @@ def test_one_partition_is_sealed_and_indexed_by_all_cores(spark, tmp_path):
         sizes = [x["count"] for x in frame.groupBy(F.input_file_name()).count().collect()]
         assert len(sizes) >= cores and max(sizes) < 2 * 4000 / cores
     assert store.sealed.count(t, lambda m: m.v.contains("399")) == sum("399" in f"value{i}" for i in range(4000))
+
+
+def test_all_pages_are_those_of_the_cursors_from_one_search(spark, sf, tmp_path, monkeypatch):
+    t = queries.sealed_table(spark, sf, "customer_gaps")
+    match, orders = lambda m: m.rank.eq(4), [Order("segment"), Order("balance", "desc")]
+    want = queries._pages(spark, sf, "customer_gaps", match, 8, None, columns=["note", "balance"], order_by=orders)
+    got = sorted(queries._engine.all_pages(t, match, folder=str(tmp_path / "p"), limit=8, columns=["note", "balance"], order_by=orders).collect(), key=lambda r: r["at"])
+    assert [(i // 8, i, x) for i, x in enumerate(want)] == [(r["page"], r["at"], {k: r[k] for k in ("id", "note", "balance")}) for r in got]
+    assert queries._engine.all_pages(t, lambda m: m.note.contains("zzz"), folder=str(tmp_path / "q"), limit=8).count() == 0
+    monkeypatch.setattr(Sealed, "find_many", lambda *_, **__: 1 / 0)
+    assert queries.QUERIES["page_exhaust"](spark, sf).count() > 0  # no search for each page
+
+
+def test_joins_move_no_index(spark, sf):
+    t = queries.sealed_table(spark, sf, "customer_gaps")
+    mixed = queries._engine.where(t, lambda m: m.or_(m.and_(m.rank.eq(3), m.note.contains("ab")), m.sql(F.col("segment") == "MACHINERY")))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    above = plan[: plan.index(join) + len(join)]
+    assert "__hl_0" in above and "pos_stamps" not in above and "eq_stamp" not in above
+    plan = queries.QUERIES["left_join_on_vs_where"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "x_pos" in line for line in plan.splitlines()) and "x_pos_stamps" not in plan
