@@ -28,8 +28,8 @@ POSTINGS = "_postings/tokens"
 PART_BYTES, CORE_BYTES = 8 << 20, 1 << 20
 #: Bytes of a row group, at most: scans hold a group of each task in memory, and index rows of long texts are large.
 GROUP_BYTES = 16 << 20
-#: Partitions of a write, at most: sizes of joins are guesses, and can be absurd.
-MOST_PARTS = 2000
+#: Spark gives frames of which it knows no size about 2**63 bytes.
+UNKNOWN_BYTES = 1 << 50
 
 
 @dataclass(frozen=True)
@@ -176,9 +176,14 @@ class Store:
 
     def _spread(self, rows: DataFrame) -> DataFrame:
         """The rows over all cores, whatever partitions they come in: sealing and indexing take far longer than reading, and a file of one row group is one task."""
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        # of what is read: sizes of joins are products
+        leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+        while leaves.hasNext():
+            size += int(leaves.next().stats().sizeInBytes())
         cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores if size < cores * CORE_BYTES else max(3 * cores, min(-(-size // PART_BYTES), MOST_PARTS)), *self.registration.keys)
+        if size >= UNKNOWN_BYTES:
+            return rows.repartition(*self.registration.keys)  # as many as its bytes turn out to need
+        return rows.repartition(cores if size < cores * CORE_BYTES else max(3 * cores, -(-size // PART_BYTES)), *self.registration.keys)
 
     def _inserted(self, m: dict, rows: DataFrame) -> tuple[dict, DataFrame]:
         """The manifest with new rows, not yet committed, and what was written."""

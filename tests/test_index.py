@@ -85,6 +85,8 @@ def test_one_partition_is_sealed_and_indexed_by_all_cores(spark, tmp_path):
     for frame in (t.parent, t.companion):
         sizes = [x["count"] for x in frame.groupBy(F.input_file_name()).count().collect()]
         assert len(sizes) >= cores and max(sizes) < 2 * 4000 / cores
+    made = spark.createDataFrame([(f"n{i}", "new") for i in range(20)], "id string, v string")  # of unknown size
+    assert store._spread(made).rdd.getNumPartitions() <= 4 * cores
     assert store.sealed.count(t, lambda m: m.v.contains("399")) == sum("399" in f"value{i}" for i in range(4000))
 
 
