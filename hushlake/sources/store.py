@@ -176,14 +176,14 @@ class Store:
 
     def _spread(self, rows: DataFrame) -> DataFrame:
         """The rows over all cores, whatever partitions they come in: sealing and indexing take far longer than reading, and a file of one row group is one task."""
-        # of what is read: sizes of joins are products
+        # in ranges, so that scans still skip by scope and row; the size is that of what is read, since sizes of joins are products
         leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
         while leaves.hasNext():
             size += int(leaves.next().stats().sizeInBytes())
         cores = self.spark.sparkContext.defaultParallelism
         if size >= UNKNOWN_BYTES:
-            return rows.repartition(*self.registration.keys)  # as many as its bytes turn out to need
-        return rows.repartition(cores if size < cores * CORE_BYTES else max(3 * cores, -(-size // PART_BYTES)), *self.registration.keys)
+            return rows.repartitionByRange(*self.registration.keys)  # as many as its bytes turn out to need
+        return rows.repartitionByRange(cores if size < cores * CORE_BYTES else max(3 * cores, -(-size // PART_BYTES)), *self.registration.keys)
 
     def _inserted(self, m: dict, rows: DataFrame) -> tuple[dict, DataFrame]:
         """The manifest with new rows, not yet committed, and what was written."""
